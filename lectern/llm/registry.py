@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .jaccard_join import OP8_SQL, op8_jaccard_join
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }
