@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from .jaccard_join import OP8_SQL, op8_jaccard_join
+from .kd_sharding import op2_kd_sharding
+from .line_dedup import OP7_SQL, op7_line_dedup
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_kd_sharding": op2_kd_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op8_jaccard_join": op8_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op7_line_dedup": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
 }
