@@ -18,6 +18,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +105,15 @@ def windows(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix((total[size:] - total[:-size]) * down[: len(h) - size + 1], seed)
 
 
+def pieces(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
+    """Runs of rows of ``batch`` with about ``limit`` bytes in ``column``, so that hashing needs bounded memory."""
+    size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    piece = np.cumsum(size) // limit
+    cut = np.flatnonzero(np.diff(piece, prepend=-1))
+    for a, b in zip(cut, [*cut[1:], len(size)]):
+        yield batch.slice(a, b - a)
+
+
 def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(block, id, text) and the bytes of all texts; other columns don't come along."""
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -126,7 +126,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, id_
     d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // B.BLOCK_BYTES)))))
 
     def sets(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in B.pieces(batch, "text")):
             s = shingles_of(B.Words(b["text"], lower=True), shingle)
             yield pa.record_batch({"id": b["id"].cast(pa.int64()), "set_key": pa.array([_key(x) for x in s], pa.binary()), "n_shingles": pa.array([len(x) for x in s], pa.int64())})
 
