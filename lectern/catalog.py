@@ -2,5 +2,146 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import relational as R
+from lectern.operators.retrieval import bm25, hybrid, tokenised
+
+QUERY, PREFERENCES, NOW = ["the", "hation", "erblend", "thereon"], ["that", "ention", "worth"], "2026-01-01 00:00:00"
+
+
+def _t(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bm25_search(spark, sf: str) -> DataFrame:
+    d = bm25(tokenised(_t(spark, sf, "documents")), QUERY)
+    return d.select("doc_id", F.round("bm25", 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+def hybrid_search(spark, sf: str) -> DataFrame:
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    query = v.where("doc_id = 0").select("embedding").first()
+    now = F.lit(NOW).cast("timestamp")
+    d = tokenised(_t(spark, sf, "documents")).join(v, "doc_id", "left").withColumn("published", F.timestamp_micros(F.unix_micros(now) - (F.col("doc_id") % 1000) * F.lit(86_400_000_000)))
+    return hybrid(d, QUERY, PREFERENCES, query[0] if query else None, now)
+
+
+def document_frequency(spark, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    return d.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def document_keywords(spark, sf: str) -> DataFrame:
+    t = F.col("text")
+    return _t(spark, sf, "documents").select("doc_id", F.array_join(T.keywords(t), " ").alias("keywords"), F.size(T.tokens(t)).cast("long").alias("n_tokens"), T.token_estimate(t).alias("estimate"))
+
+
+def content_ids(spark, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("mem_"), F.left(F.sha2(F.concat_ws(":", "source", F.coalesce("text", F.lit(""))), 256), F.lit(32))).alias("content_id"))
+
+
+def first_wins_texts(spark, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return d.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+
+
+def keyed_dedupe(spark, sf: str) -> DataFrame:
+    return R.first_position_last_value(_t(spark, sf, "events"), ["user_id"], "event_id", ["event_type", "value"])
+
+
+def last_messages(spark, sf: str) -> DataFrame:
+    return R.latest(_t(spark, sf, "conversations").select("conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")), ["conv_id"], "turn")
+
+
+def context_parts(spark, sf: str) -> DataFrame:
+    return R.head_and_tail(_t(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", 2, 2)
+
+
+def citation_audit(spark, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events").select(F.col("event_type").alias("doc"), F.concat(F.lit("see [paper:"), "user_id", F.lit("].")).alias("text"))
+    refs = e.select("doc", F.explode(T.cited(F.col("text"))).alias("ref"))
+    return R.citation_audit(refs, _t(spark, sf, "customer").select(F.concat(F.lit("paper:"), "c_custkey").alias("ref")))
+
+
+def pattern_mining(spark, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events")
+    return R.mined_patterns(e, ["user_id"], F.col("event_type") != "error", 3, 0.8)
+
+
+def upserted_orders(spark, sf: str) -> DataFrame:
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    delta = o.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("archived").alias("o_orderstatus"), "o_orderpriority")
+    return R.upsert(o, delta, ["o_orderkey"])
+
+
+def scoped_customers(spark, sf: str) -> DataFrame:
+    c, n = _t(spark, sf, "customer"), _t(spark, sf, "nation")
+    return c.join(n, c.c_nationkey == n.n_nationkey).where("c_acctbal > 0").select("c_custkey", "c_name", "n_name")
+
+
+def state_versions(spark, sf: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return _t(spark, sf, "events").select("event_id", "user_id", F.row_number().over(w).cast("long").alias("state_version"))
+
+
+def page_links(spark, sf: str) -> DataFrame:
+    p = _t(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('<a href="([^"]*)"'), 1)).alias("pos", "url"))
+    return p.groupBy("page_id", "url").agg(F.min("pos").cast("long").alias("pos"))
+
+
+def query_overlap(spark, sf: str) -> DataFrame:
+    q = F.array(*[F.lit(x) for x in QUERY + PREFERENCES])
+    return _t(spark, sf, "documents").select("doc_id", F.round(T.overlap(T.tokens(F.col("text")), q), 6).alias("jaccard"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bm25_search, hybrid_search, document_frequency, document_keywords, content_ids, first_wins_texts, keyed_dedupe, last_messages, context_parts, citation_audit,
+        pattern_mining, upserted_orders, scoped_customers, state_versions, page_links, query_overlap,
+    )
+}
+
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9._/+\-]*')"
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_BM25 = f"""
+WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n, greatest(avg(len(t)), 1) AS m FROM d),
+q AS (SELECT unnest({_LIST(QUERY)}) AS term), f AS (SELECT term, (SELECT count(*) FROM d WHERE list_contains(t, term)) AS df FROM q),
+p AS (SELECT doc_id, len(t) AS l, term, df, CAST(len(list_filter(t, lambda x: x = term)) AS DOUBLE) AS tf FROM d, f),
+b AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * l / m))) AS bm FROM p, s GROUP BY doc_id)
+"""
+
+ORACLE_SQL = {
+    "bm25_search": _BM25 + "SELECT doc_id, round(bm, 6) AS score FROM b WHERE round(bm, 6) > 0 ORDER BY score DESC, doc_id LIMIT 20",
+    "hybrid_search": _BM25 + f""", v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+x AS (SELECT d.doc_id, round(coalesce(list_cosine_similarity(v.e, (SELECT e FROM v WHERE vec_id = 0)), 0), 6) AS vector_score,
+  round(bm / (SELECT max(bm) FROM b), 6) AS bm25_score, round(exp(-0.6931471805599453 * (d.doc_id % 1000) / 365.0), 6) AS time_score,
+  round(len(list_intersect(t, {_LIST(PREFERENCES)})) / {len(PREFERENCES)}.0, 6) AS preference_score
+  FROM d JOIN b USING (doc_id) LEFT JOIN v ON v.vec_id = d.doc_id)
+SELECT *, round(0.35 * vector_score + 0.40 * bm25_score + 0.10 * time_score + 0.15 * preference_score, 6) AS score FROM x
+WHERE bm25_score > 0 OR vector_score <> 0 ORDER BY score DESC, doc_id LIMIT 20""",
+    "document_frequency": f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY token",
+    "document_keywords": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, {_TOKENS} AS t FROM documents)
+SELECT doc_id, array_to_string(list_filter(t, lambda w, i: list_position(t, w) = i)[1:20], ' ') AS keywords, len(t) AS n_tokens, greatest(1, length(x) // 4) AS estimate FROM d""",
+    "content_ids": "SELECT doc_id, 'mem_' || left(sha256(concat_ws(':', source, coalesce(text, ''))), 32) AS content_id FROM documents",
+    "first_wins_texts": "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY coalesce(text, '')",
+    "keyed_dedupe": "SELECT user_id, min(event_id) AS first_position, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id",
+    "last_messages": "SELECT conv_id, turn, role, md5(coalesce(text, '')) AS text_md5 FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1",
+    "context_parts": """SELECT conv_id, turn, role, CASE WHEN row_number() OVER w <= 2 THEN 'head' WHEN row_number() OVER w > count(*) OVER (PARTITION BY conv_id) - 2 THEN 'tail' ELSE 'middle' END AS part
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "citation_audit": """SELECT event_type AS doc, count(*) AS n_cited, count(*) FILTER (c_custkey IS NULL) AS n_hallucinated, count(*) FILTER (c_custkey IS NULL) = 0 AS is_valid
+FROM events LEFT JOIN customer ON user_id = c_custkey GROUP BY event_type""",
+    "pattern_mining": """SELECT * FROM (SELECT user_id, count(*) FILTER (event_type <> 'error') AS successes, count(*) FILTER (NOT event_type <> 'error') AS failures,
+round(count(*) FILTER (event_type <> 'error') / (count(*) FILTER (event_type <> 'error') + count(*) FILTER (NOT event_type <> 'error')), 4) AS success_rate FROM events GROUP BY user_id)
+WHERE successes >= 3 AND success_rate >= 0.8""",
+    "upserted_orders": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'archived' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders",
+    "scoped_customers": "SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0",
+    "state_versions": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS state_version FROM events",
+    "page_links": """SELECT page_id, url, min(pos) AS pos FROM (SELECT page_id, unnest(l) AS url, unnest(range(len(l))) AS pos
+FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)"', 1) AS l FROM pages)) GROUP BY page_id, url""",
+    "query_overlap": f"""WITH d AS (SELECT doc_id, list_distinct({_TOKENS}) AS t FROM documents), o AS (SELECT doc_id, len(t) AS n, len(list_intersect(t, {_LIST(QUERY + PREFERENCES)})) AS i FROM d)
+SELECT doc_id, round(CAST(i AS DOUBLE) / (n + {len(set(QUERY + PREFERENCES))} - i), 6) AS jaccard FROM o""",
+}
