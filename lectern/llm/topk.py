@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n_blocks = max(1, -(-n_queries // QUERY_ROWS))
     first = -(-n_shards // 8)
     v = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("part"))
-    q = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("part"))
+    q = queries.select(F.col("vec_id").alias("asked_id"), F.col("v").alias("asked_v"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("part"))
 
     def search(t: pa.Table, asked: pa.Table) -> pa.Table:
         ids = t["vec_id"].to_numpy()
@@ -132,9 +132,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             start = np.flatnonzero(new)
             keep = np.arange(len(ids)) - start[np.cumsum(new) - 1] <= k
             x, ids = x[keep], ids[keep]
-        own = asked["vec_id"].to_numpy()
+        own = asked["asked_id"].to_numpy()
         kth = asked["kth"].to_numpy(zero_copy_only=False).astype(np.float64)
-        q = matrix(asked["v"], width) if len(own) else np.zeros((0, width))
+        q = matrix(asked["asked_v"], width) if len(own) else np.zeros((0, width))
         score, name = BallTree(x, ids).search(q, own, k, np.nan_to_num(kth, nan=-np.inf, neginf=-np.inf))
         row, col = np.nonzero(score > -np.inf)
         # scores come as whole numbers again from the 64-bit product where doubles could not hold them
@@ -152,8 +152,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     found = best(run(0, first, q.withColumn("kth", F.lit(None).cast("double"))))
     if first < n_shards:
         found = written(found, "first")
-        bound = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
-        found = best(found.drop("rank").union(run(first, n_shards, q.join(bound, "vec_id", "left"))))
+        bound = found.where(F.col("rank") == k).select(F.col("query_id").alias("asked_id"), F.col("score").cast("double").alias("kth"))
+        found = best(found.drop("rank").union(run(first, n_shards, q.join(bound, "asked_id", "left"))))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
