@@ -35,7 +35,11 @@ FEATURES = ("lexicon", "lexicon_plain", "hits", "near", "capitals", "punctuation
 
 
 def _any(words) -> str:
-    return "(?<![\\p{L}])(?:" + "|".join(words) + ")(?![\\p{L}])"
+    """One of the words, whole; cut by first letters, so that few of them are tried at a place."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return f"(?<![\\p{{L}}])(?=[{''.join(by)}])(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in by.items()) + ")(?![\\p{L}])"
 
 
 def text_features(text: Column, lexicon=tuple(LEXICON)) -> dict[str, Column]:
@@ -43,7 +47,7 @@ def text_features(text: Column, lexicon=tuple(LEXICON)) -> dict[str, Column]:
     t = F.coalesce(text.cast("string"), F.lit(""))
     low = F.lower(t)
     # letters set apart by a sign (i.d.i.o.t, i*d*i*o*t) and signs for letters are undone
-    plain = F.translate(F.regexp_replace(low, "(?<=\\b\\p{L})[.*_-](?=\\p{L}\\b)", ""), SIGNS, LETTERS)
+    plain = F.translate(F.regexp_replace(low, "[.*_-](?<=\\b\\p{L}[.*_-])(?=\\p{L}\\b)", ""), SIGNS, LETTERS)
     word = _any(lexicon)
     near = f"{_any(SECOND_PERSON)}(?:\\W+\\w+){{0,3}}?\\W+{word}|{word}(?:\\W+\\w+){{0,3}}?\\W+{_any(SECOND_PERSON)}"
 
@@ -55,7 +59,7 @@ def text_features(text: Column, lexicon=tuple(LEXICON)) -> dict[str, Column]:
     n = F.greatest(words, F.lit(1.0))
     hits = count(low, word)
     return {
-        "lexicon": hits / n, "lexicon_plain": count(plain, word) / n, "hits": hits, "near": count(low, near) / n,
+        "lexicon": hits / n, "lexicon_plain": count(plain, word) / n, "hits": hits, "near": F.when(hits > 0, count(low, near) / n).otherwise(0.0),
         "capitals": count(t, "\\p{Lu}") / chars, "punctuation": count(t, "[\\p{Punct}]") / chars, "bursts": count(t, "[!?*#$%&]{2,}") / n,
         "obfuscated": count(low, "\\p{L}[0-9@$!*]+\\p{L}") / n, "digits": count(t, "[0-9]") / chars, "words": F.log1p(words), "word_length": chars / n,
     }
