@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import relational as R
 from lectern.operators.retrieval import bm25, hybrid, tokenised
+from lectern.sources.stored import document_kind
+from lectern.streaming.logs import hourly, rate_limited, streamed
 
 QUERY, PREFERENCES, NOW = ["the", "hation", "erblend", "thereon"], ["that", "ention", "worth"], "2026-01-01 00:00:00"
 
@@ -97,11 +102,48 @@ def query_overlap(spark, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", F.round(T.overlap(T.tokens(F.col("text")), q), 6).alias("jaccard"))
 
 
+def fixed_chunks(spark, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(T.fixed_chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    return d.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("chunk", 256).alias("content_hash"))
+
+
+def term_frequency(spark, sf: str) -> DataFrame:
+    d = _t(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    return d.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def pool_coverage(spark, sf: str) -> DataFrame:
+    cited = _t(spark, sf, "orders").select(F.col("o_custkey").alias("ref"))
+    return R.coverage(cited, _t(spark, sf, "customer").select(F.col("c_custkey").alias("ref")))
+
+
+def registry_changes(spark, sf: str) -> DataFrame:
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    old, new = o.where("o_orderkey % 5 <> 0"), o.where("o_orderkey % 7 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 11 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return R.changes(old, new, "o_orderkey", "o_orderstatus")
+
+
+def page_kinds(spark, sf: str) -> DataFrame:
+    return _t(spark, sf, "pages").select("page_id", document_kind(F.col("html").cast("binary")).alias("kind"))
+
+
+def admitted_events(spark, sf: str) -> DataFrame:
+    e = _t(spark, sf, "events").select("event_id", "user_id", "ts")
+    return rate_limited(e, "user_id", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, ["event_id"], limit=2, window=86_400.0).select("event_id", "user_id", "allowed")
+
+
+def hourly_events(spark, sf: str) -> DataFrame:
+    path, base = f"{sf}/events.parquet", spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parquet*")  # a stream takes a file by a pattern only
+    return streamed(stream, f"{base}/hourly-{uuid.uuid4().hex}", lambda e: hourly(e, "ts", "event_type"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_search, hybrid_search, document_frequency, document_keywords, content_ids, first_wins_texts, keyed_dedupe, last_messages, context_parts, citation_audit,
-        pattern_mining, upserted_orders, scoped_customers, state_versions, page_links, query_overlap,
+        pattern_mining, upserted_orders, scoped_customers, state_versions, page_links, query_overlap, fixed_chunks, term_frequency,
+        pool_coverage, registry_changes, page_kinds, admitted_events, hourly_events,
     )
 }
 
@@ -144,4 +186,18 @@ WHERE successes >= 3 AND success_rate >= 0.8""",
 FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<a href="([^"]*)"', 1) AS l FROM pages)) GROUP BY page_id, url""",
     "query_overlap": f"""WITH d AS (SELECT doc_id, list_distinct({_TOKENS}) AS t FROM documents), o AS (SELECT doc_id, len(t) AS n, len(list_intersect(t, {_LIST(QUERY + PREFERENCES)})) AS i FROM d)
 SELECT doc_id, round(CAST(i AS DOUBLE) / (n + {len(set(QUERY + PREFERENCES))} - i), 6) AS jaccard FROM o""",
+    "fixed_chunks": """WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents),
+c AS (SELECT doc_id, unnest(list_filter(list_transform(range(0, greatest(length(t), 1), 780), lambda i: trim(substring(t, i + 1, 900))), lambda x: x <> '')) AS chunk,
+  generate_subscripts(list_filter(list_transform(range(0, greatest(length(t), 1), 780), lambda i: trim(substring(t, i + 1, 900))), lambda x: x <> ''), 1) - 1 AS chunk_index FROM d)
+SELECT doc_id, chunk_index, sha256(chunk) AS content_hash FROM c""",
+    "term_frequency": f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY doc_id, token",
+    "pool_coverage": """SELECT count(*) AS n_pool, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS n_covered,
+round(count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) / count(*), 4) AS coverage FROM customer""",
+    "registry_changes": """WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 5 <> 0),
+b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT o_orderkey, CASE WHEN a.o_orderstatus IS NULL THEN 'added' WHEN b.o_orderstatus IS NULL THEN 'removed' ELSE 'updated' END AS change
+FROM a FULL JOIN b USING (o_orderkey) WHERE a.o_orderstatus IS DISTINCT FROM b.o_orderstatus""",
+    "page_kinds": """SELECT page_id, CASE WHEN html IS NULL OR NOT (contains(h, '<html') OR contains(h, '<!doctype')) THEN 'unknown'
+WHEN regexp_matches(h, '登录|login|captcha|验证码|无权|购买') THEN 'login' ELSE 'page' END AS kind FROM (SELECT page_id, html, lower(html) AS h FROM pages)""",
+    "hourly_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

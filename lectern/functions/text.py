@@ -59,3 +59,13 @@ def decay(then: Column, now: Column, half_life_days: float) -> Column:
     """0.5 ** (age / half life); 1 for the future, 0 for no date."""
     age = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / F.lit(8.64e10))
     return F.when(then.isNull(), 0.0).otherwise(F.exp(-F.lit(0.6931471805599453) * age / F.lit(float(max(half_life_days, 1.0)))))
+
+
+def fixed_chunks(text: Column, size: int = 900, overlap: int = 120) -> Column:
+    """Slices of the collapsed text, ``size`` characters each and ``overlap`` shared with the one before; none for blanks."""
+    size = max(200, size)
+    step = max(size - min(max(overlap, 0), size - 1), 1)
+    t = collapsed(text)
+    n = F.char_length(t)
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: F.trim(F.substring(t, i + 1, F.lit(size))))
+    return F.filter(cut, lambda c: c != "")

@@ -53,3 +53,17 @@ def mined_patterns(events: DataFrame, signature: list[str], success: Column, lea
     d = events.groupBy(*signature).agg(F.count_if(success).alias("successes"), F.count_if(~success).alias("failures"))
     d = d.withColumn("success_rate", F.round(F.col("successes") / (F.col("successes") + F.col("failures")), 4))
     return d.where((F.col("successes") >= least) & (F.col("success_rate") >= rate))
+
+
+def coverage(citations: DataFrame, pool: DataFrame, key: str = "ref") -> DataFrame:
+    """How many of the pool's distinct keys are cited, and their share; 0 for an empty pool."""
+    cited = citations.select(key).distinct().withColumn("__cited", F.lit(1))
+    d = pool.select(key).distinct().join(cited, key, "left").agg(F.count(F.lit(1)).alias("n_pool"), F.count("__cited").alias("n_covered"))
+    return d.withColumn("coverage", F.when(F.col("n_pool") > 0, F.round(F.col("n_covered") / F.col("n_pool"), 4)).otherwise(0.0))
+
+
+def changes(old: DataFrame, new: DataFrame, key: str, mark: str) -> DataFrame:
+    """Keys that were added, removed or whose ``mark`` is another; keys are distinct in each table and marks not null."""
+    d = old.select(key, F.col(mark).alias("__old")).join(new.select(key, F.col(mark).alias("__new")), key, "full_outer")
+    kind = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old") != F.col("__new"), "updated")
+    return d.select(key, kind.alias("change")).where("change is not null")
