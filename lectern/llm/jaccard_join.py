@@ -140,14 +140,12 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, id_
     def own(t: pa.Table, told: pa.Table):
         """Ids and sets of the classes for which this block speaks."""
         want = {v for p, v in zip(told["part"].to_pylist(), told["vals"].to_pylist()) if p == -1}
-        ids, out = [], []
+        found: dict = {}  # set_key: least id, which is the sid, and set; copies stand here in any order
         if want:
             for i, s in zip(t["id"].to_pylist(), shingles_of(B.Words(t["text"], lower=True), shingle)):
-                if i is not None and len(s) and (k := _key(s)) in want:
-                    want.discard(k)
-                    ids.append(i)
-                    out.append(s)
-        return np.array(ids, np.int64), out
+                if i is not None and len(s) and (k := _key(s)) in want and (k not in found or i < found[k][0]):
+                    found[k] = i, s
+        return np.array([i for i, _ in found.values()], np.int64), [s for _, s in found.values()]
 
     def prefixes(s: list[np.ndarray]):
         return [x[: len(x) - _least(len(x), percent) + _k(len(x))] for x in s]

@@ -140,6 +140,19 @@ def test_top_k_with_ties_copies_and_bad_vectors(spark):
     assert topk.top_k(v.where("vec_id < 3"), v.where("vec_id = 0"), 10).count() == 2
 
 
+def test_near_duplicates_of_copies_in_any_order(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:-1], "other"]
+    texts = {i: " ".join(base if i % 3 else near) for i in range(100, 160)} | {i: f"lone text of {i} with words enough" for i in range(160, 170)}
+    first = {k: min(i for i in texts if texts[i] == k) for k in texts.values()}
+    want = {i: (first[t], 100 if i < 160 else i) for i, t in texts.items()}
+    for order in (sorted(texts, reverse=True), *(rng.permutation(list(texts)).tolist() for _ in range(2))):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize([(i, texts[i]) for i in order], 7), "doc_id long, text string")
+        got = {r.id: (r.class_id, r.component_id) for r in jaccard_components(docs).collect()}
+        assert got == want
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_archives_round_trip(spark, version):
     pages = [(1, "http://a/ b", "x\r\n\r\ny\n"), (2, None, "x\r\n\r\ny\n"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 30000), (5, "u", "other"), (None, "u", "z")]
