@@ -191,6 +191,50 @@ def test_paraphrase_with_its_answer_is_a_leak(spark):
     assert {r.id: r.item_ids for r in out.collect()} == {1: [9], 2: []}
 
 
+def brute_leak(item: list[str], words: list[str]) -> bool:
+    """Whether 0.8 of the item, or 0.65 with its last three words, stand in order in one and a half times its length."""
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    width = len(item) + (len(item) + 1) // 2
+    for i in range(len(words)):
+        x = words[i:i + width]
+        if sum(w in item for w in x) * 100 >= 65 * len(item):
+            share = longest(item, x) / len(item)
+            if share >= 0.8 or (share >= 0.65 and longest(item[-3:], x) == len(item[-3:])):
+                return True
+    return False
+
+
+def test_leaks_of_any_length_are_found_where_the_fit_is_a_sample(spark):
+    rng = np.random.default_rng(21)
+    weight = 1 / np.arange(1, 2001)
+    draw = lambda n: [f"w{x}" for x in rng.choice(2000, n, p=weight / weight.sum())]
+    items = {i: draw(n) for i, n in enumerate([4, 6, 6, 8, 8, 10, 12, 15, 18, 25, 40, 59, 70, 130])}
+    docs = {}
+    for i, item in items.items():
+        for kind in ("verbatim", "fifth", "answer"):
+            for _ in range(2):
+                x = list(item)
+                share, free = {"verbatim": (0, 0), "fifth": (0.2, len(x)), "answer": (0.35, len(x) - 3)}[kind]
+                for at in rng.permutation(free)[: int(share * len(x) + 1e-9)]:
+                    x[at] = f"new{rng.integers(10 ** 9)}"
+                text, at = draw(int(rng.integers(200, 500))), int(rng.integers(0, 200))
+                docs[len(docs)] = (i, text[:at] + x + text[at:])
+    d = spark.createDataFrame([(k, " ".join(x)) for k, (_, x) in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {r.id: set(r.item_ids) for r in decontaminate.benchmark_leaks(d, bench, fit_bytes=40_000).collect()}
+    for k, (i, x) in docs.items():
+        want = {j for j, item in items.items() if brute_leak(item, x)}
+        assert i in want and want <= got[k]
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(5)
     for _ in range(20):
