@@ -1,8 +1,8 @@
 """Packing into optimal length buckets: dynamic programming over the global histogram of lengths.
 
-Lengths are counted by Spark into bins: each length up to 1,024 has its own, longer ones share bins a 256th of an
-octave wide, each known by the longest length in it, so the histogram has a bounded number of bins for any input. The
-least total padding with at most ``n_buckets`` boundaries is found over the bins exactly; boundaries are lengths that
+Lengths are counted by Spark, one bin for each distinct length; texts of t words in all have under sqrt(2 t) of these.
+The least total padding with at most ``n_buckets`` boundaries is found exactly, in whole numbers: the best start of a
+bucket never falls as its end grows, so each row of the programme is divided and conquered. Boundaries are lengths that
 occur. Inside a bucket, documents are numbered without any group meeting in one task, and every
 ``token_budget // boundary`` of them (one at least) form a batch.
 """
@@ -15,35 +15,40 @@ from pyspark.sql import functions as F
 
 from .shared import numbered, table, written
 
-EXACT, PER_OCTAVE = 1024, 256
-
-
 def n_words(text: Column) -> Column:
     t = F.coalesce(text.cast("string"), F.lit(""))
     return F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+"))
 
 
-def bin_of(length: Column) -> Column:
-    octave = F.floor((F.log2(length.cast("double")) - 10) * PER_OCTAVE)
-    return F.when(length <= EXACT, length).otherwise(EXACT + 1 + octave).cast("long")
-
-
 def optimal_boundaries(longest: np.ndarray, rows: np.ndarray, tokens: np.ndarray, n_buckets: int) -> list[int]:
     """Boundaries, ascending, that minimise padding: bins are in order of length, ``longest`` the longest of each."""
     n = len(longest)
     if not n:
         return []
-    count, total = np.r_[0, np.cumsum(rows)].astype(np.float64), np.r_[0, np.cumsum(tokens)].astype(np.float64)
+    kind = np.int64 if int(longest[-1]) * sum(rows.tolist()) < 1 << 62 else object  # Python's whole numbers where 64 bits are few
+    longest = longest.astype(kind)
+    count, total = (np.concatenate([[0], np.cumsum(x.astype(kind))]).astype(kind) for x in (rows, tokens))
     best = longest * count[1:] - total[1:]  # one bucket over bins 0 .. j
     come = [np.zeros(n, np.int64)]
     for _ in range(min(n_buckets, n) - 1):
         now, start = best.copy(), np.full(n, -1)
-        for j in range(1, n):
-            i = np.arange(1, j + 1)
+        # ends lo .. hi have starts a .. b; all ranges of a depth at once
+        lo, hi, a, b = (np.array([x]) for x in (1, n - 1, 1, n - 1))
+        while len(lo):
+            mid = (lo + hi) // 2
+            many = np.minimum(mid, b) - a + 1
+            first = np.cumsum(many) - many
+            part = np.repeat(np.arange(len(mid)), many)
+            i, j = (a - first)[part] + np.arange(len(part)), mid[part]
             cost = best[i - 1] + longest[j] * (count[j + 1] - count[i]) - (total[j + 1] - total[i])
-            at = int(cost.argmin())
-            if cost[at] < now[j]:
-                now[j], start[j] = cost[at], i[at]
+            least = np.minimum.reduceat(cost, first)
+            hit = np.flatnonzero(cost == least[part])
+            at = i[hit[np.unique(part[hit], return_index=True)[1]]]
+            gain = (least < now[mid]).astype(bool)
+            now[mid[gain]], start[mid[gain]] = least[gain], at[gain]
+            lo, hi, a, b = np.r_[lo, mid + 1], np.r_[mid - 1, hi], np.r_[a, at], np.r_[at, b]
+            some = lo <= hi
+            lo, hi, a, b = lo[some], hi[some], a[some], b[some]
         best = now
         come.append(start)
     out, j, level = [], n - 1, len(come) - 1
@@ -65,10 +70,11 @@ def packed(docs: DataFrame, n_buckets: int = 16, token_budget: int = 65_536, id_
     """
     n_tokens = (n_words(F.col(f"`{text_col}`")) + 1 if length is None else length).cast("long")
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), n_tokens.alias("n_tokens"), F.xxhash64(f"`{text_col}`").alias("__tie"))
-    d = written(d.withColumn("__bin", bin_of(F.col("n_tokens"))), "lengths")
-    bins = d.groupBy("__bin").agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens")).collect()
-    bins.sort(key=lambda r: r["__bin"])
-    edges = optimal_boundaries(*[np.array([r[c] for r in bins], np.int64) for c in ("longest", "rows", "tokens")], n_buckets) or [1]
+    d = written(d, "lengths")
+    bins = d.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows")).collect()
+    bins.sort(key=lambda r: r["n_tokens"])
+    longest, rows = (np.array([r[c] for r in bins], np.int64) for c in ("n_tokens", "rows"))
+    edges = optimal_boundaries(longest, rows, longest * rows, n_buckets) or [1]
     bucket = F.lit(0)
     for i, edge in enumerate(edges[:-1]):
         bucket = F.when(F.col("n_tokens") > edge, F.lit(i + 1)).otherwise(bucket)

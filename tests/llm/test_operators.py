@@ -247,6 +247,20 @@ def test_boundaries_are_optimal():
         assert len(edges) <= k and pad(edges) == best
 
 
+def test_padding_is_the_least_where_many_lengths_are_long(spark):
+    lengths = np.random.default_rng(6).integers(1, 20_000, 1500)
+    docs = spark.createDataFrame([(i, "", int(n)) for i, n in enumerate(lengths)], "doc_id long, text string, rank long")
+    u, rows = (x.tolist() for x in np.unique(lengths, return_counts=True))
+    count, total = np.cumsum([0, *rows]), np.cumsum([0, *(x * n for x, n in zip(u, rows))])
+    row = [0, *([1 << 60] * len(u))]  # least padding of the first j lengths, for one bucket more each time
+    for _ in range(7):
+        row = [0, *(min(row[j], int(min(np.array(row[:j]) + u[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])))) for j in range(1, len(u) + 1))]
+    assert sum(r.padding for r in packing.packed(docs, 7, length=F.col("rank")).collect()) == row[-1]
+    u, rows = np.array(u), np.array(rows)
+    wide = packing.optimal_boundaries(u << 44, rows, (u << 44) * rows, 7)  # sums that 64 bits can't hold
+    assert [x >> 44 for x in wide] == packing.optimal_boundaries(u, rows, u * rows, 7)
+
+
 def test_batches_hold_the_budget(spark):
     out = registry.QUERIES["op10_packing"](spark, SF).collect()
     assert len(out) == spark.read.parquet(f"{SF}/documents.parquet").count()
