@@ -2,12 +2,14 @@
 
 Lines are compared with white space collapsed; blank lines are left out of the comparison and stay where they are.
 Every run of ``gram`` lines is hashed, and of every ``window`` hashes in a row the least (the last one, of equals) is
-a fingerprint, so any run of ``gram + window - 1`` equal lines has a fingerprint in common at the same place.
-Fingerprints that stand more than once are joined with their positions, extended to the left and to the right to
-the whole run, and every line of a run that isn't the first of its kind, in the order (doc_id, line), is deleted.
-
-Fingerprints are counted and the first of each run is found by pre-aggregated minima; joining these to the
-positions is the only step a frequent line can be hot in, and Spark splits such joins. Runs are never paired.
+its fingerprint, so equal runs of ``gram + window - 1`` lines have equal fingerprints at the same place in them. There
+is one row for each window, and neighbours may share a fingerprint: fingerprints are a first sieve and select no
+positions. Windows whose fingerprint stands in another window are compared by a hash of their whole run; nothing is
+extended, as a longer run is the union of its windows. Every line of a run that isn't the first of its kind, in the
+order (id, hash of the text, line), is deleted; so runs of fewer lines stay, however long the lines are.
+
+The first of each run is found by pre-aggregated minima; joining these to the positions is the only step a frequent
+line can be hot in, and Spark splits such joins. Runs are never paired.
 """
 
 from __future__ import annotations
