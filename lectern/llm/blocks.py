@@ -26,21 +26,7 @@ from .shared import shuffle_partitions
 
 BLOCK_BYTES = 3_000_000
 U = np.uint64
-_BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; base is odd."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        size = max(n, 1 << 20)
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, b, U)
-            a[0] = 1
-            pair.append(np.cumprod(a, dtype=U))
-        _POWERS[base] = tuple(pair)
-    return tuple(x[:n] for x in _POWERS[base])
+_STEP = 0xC2B2AE3D27D4EB4F | 1
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -51,6 +37,34 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span.
+
+    Bytes are taken in words of eight, each mixed with its place in the span before they are added, so no structure of
+    the bytes survives; a plain polynomial modulo 2**64 gives equal values for some unlike strings whatever its base.
+    """
+    n = ends - starts
+    out = mix(n.astype(U), 13)
+    if not len(n):
+        return out
+    eight = np.zeros(len(raw) + 8, U)  # the eight bytes from each place on, little end first
+    eight[: len(raw)] = raw
+    for k in (1, 2, 4):
+        eight[:-k] |= eight[k:] << U(8 * k)
+    keep = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+    live = np.arange(len(n))
+    for k in range(64):
+        out[live] += mix(eight[starts[live] + 8 * k] & keep[np.minimum(n[live] - 8 * k, 8)], 17 + k)
+        live = live[n[live] > 8 * (k + 1)]
+        if not len(live):
+            break
+    for i in live.tolist():  # spans of over 512 bytes, one at a time
+        w = np.arange(64, -(-int(n[i]) // 8))
+        v = eight[starts[i] + 8 * w] & keep[np.minimum(n[i] - 8 * w, 8)]
+        out[i:i + 1] += mix(v + mix(w.astype(U), 3), 16).sum(dtype=U)
+    return mix(out, 19)
+
+
 class Words:
     """The words of a column of texts: byte spans, 64-bit hashes, and the first word of each text."""
 
@@ -84,25 +98,33 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, U)
-        up, down = powers(_BASE, len(self.raw) + 1)
-        total = np.zeros(len(self.raw) + 1, U)
-        np.cumsum((self.raw.astype(U) + U(1)) * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U) * U(0x51ED270B))
+        return span_hashes(self.raw, self.starts, self.ends)
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
 def windows(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all runs of ``size`` words; run i starts at word i. Runs over two texts are among them."""
-    if len(h) < size:
+    """Hashes of all runs of ``size`` words; run i starts at word i. Runs over two texts are among them.
+
+    Runs of 1, 2, 4 … words are hashed from their halves, and those that make up ``size`` are put together.
+    """
+    n = len(h) - size + 1
+    if n <= 0:
         return np.zeros(0, U)
-    up, down = powers(_STEP, len(h) + 1)
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(mix(h, seed + 1) * up[:-1], out=total[1:])
-    return mix((total[size:] - total[:-size]) * down[: len(h) - size + 1], seed)
+
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a * U(_STEP) + b)
+
+    part, length, at, out = mix(h, seed + 1), 1, 0, None
+    while at < size:
+        if (size - at) & length:
+            own = part[at:at + n]
+            out = own if out is None else join(out, own)
+            at += length
+        if at < size:
+            part, length = join(part[:-length], part[length:]), 2 * length
+    return mix(out, seed)
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
