@@ -142,15 +142,15 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
-def features_of(m: Marks, keys: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
-    """FEATURES of each text. ``keys`` are sorted; ``weights`` [text's row, key] or [key]."""
+def features_of(m: Marks, keys: np.ndarray, weights: np.ndarray, part: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """FEATURES of each text. ``keys`` are sorted; ``weights`` is [key], or [fold, key] with each text's fold in ``part``."""
     n = np.maximum(np.bincount(m.of, minlength=m.n), 1).astype(float)
 
     def weight(h: np.ndarray) -> np.ndarray:
         if not len(keys) or not len(h):
             return np.zeros(len(h))
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where((keys[at] == h) & (h != 0), weights[at] if weights.ndim == 1 else weights[m.of, at], 0.0)
+        return np.where((keys[at] == h) & (h != 0), weights[at] if part is None else weights[part[m.of], at], 0.0)
 
     def total(x: np.ndarray) -> np.ndarray:
         return np.bincount(m.of, weights=x, minlength=m.n)
@@ -238,14 +238,7 @@ def featured(rows: DataFrame, lexicon: LearnedLexicon, keep: str) -> DataFrame:
     def make(batches):
         for b in (x for batch in batches for x in B.pieces(batch, "text")):
             m = Marks(b["text"])
-            if "part" in names:
-                part = b["part"].to_numpy(zero_copy_only=False)
-                out = {k: np.zeros(m.n) for k in FEATURES}
-                for i in range(FOLDS):
-                    for k, v in features_of(m, keys, crossed[i]).items():
-                        out[k][part == i] = v[part == i]
-            else:
-                out = features_of(m, keys, whole)
+            out = features_of(m, keys, crossed, b["part"].to_numpy(zero_copy_only=False)) if "part" in names else features_of(m, keys, whole)
             yield pa.record_batch({k: b[k] for k in names} | {k: out[k] for k in FEATURES})
 
     return rows.select(*names, "text").mapInArrow(make, keep + ", " + ", ".join(f"{k} double" for k in FEATURES))
@@ -302,7 +295,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, holdout: int = 5, fit_ro
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < fit_rows * 1_000_000 // n)
-    model = ToxicityModel(rows.where("not held_out").join(known, "id"))
+    # at most about fit_rows ids and labels, so they go to the texts, and no text is shuffled
+    model = ToxicityModel(rows.where("not held_out").join(F.broadcast(known), "id"))
     return model.score(rows, "id long, mark long, held_out boolean").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
