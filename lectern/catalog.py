@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.chunks import fixed_chunks as fixed
 from lectern.operators import relational as R
-from lectern.operators.retrieval import bm25, hybrid, tokenised
+from lectern.operators.retrieval import bm25, candidate_limit, hybrid, tokenised, vector_top
+from lectern.scratch import scratch_path
 from lectern.sources.stored import document_kind
 from lectern.streaming.logs import hourly, rate_limited, streamed
 
@@ -30,8 +29,10 @@ def hybrid_search(spark, sf: str) -> DataFrame:
     v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     query = v.where("doc_id = 0").select("embedding").first()
     now = F.lit(NOW).cast("timestamp")
-    d = tokenised(_t(spark, sf, "documents")).join(v, "doc_id", "left").withColumn("published", F.timestamp_micros(F.unix_micros(now) - (F.col("doc_id") % 1000) * F.lit(86_400_000_000)))
-    return hybrid(d, QUERY, PREFERENCES, query[0] if query else None, now)
+    hits = vector_top(v, query[0], candidate_limit(20))
+    age = F.timestamp_micros(F.unix_micros(now) - (F.col("doc_id") % 1000) * F.lit(86_400_000_000))
+    d = tokenised(_t(spark, sf, "documents")).withColumns({"published_at": age, "indexed_at": F.lit(None).cast("timestamp")})
+    return hybrid(d, hits, QUERY, PREFERENCES, now, 20)
 
 
 def document_frequency(spark, sf: str) -> DataFrame:
@@ -40,8 +41,8 @@ def document_frequency(spark, sf: str) -> DataFrame:
 
 
 def document_keywords(spark, sf: str) -> DataFrame:
-    t = F.col("text")
-    return _t(spark, sf, "documents").select("doc_id", F.array_join(T.keywords(t), " ").alias("keywords"), F.size(T.tokens(t)).cast("long").alias("n_tokens"), T.token_estimate(t).alias("estimate"))
+    d = _t(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"), T.token_estimate(F.col("text")).alias("estimate"))
+    return d.select("doc_id", F.array_join(F.slice(F.array_distinct("t"), 1, 20), " ").alias("keywords"), F.size("t").cast("long").alias("n_tokens"), "estimate")
 
 
 def content_ids(spark, sf: str) -> DataFrame:
@@ -103,7 +104,7 @@ def query_overlap(spark, sf: str) -> DataFrame:
 
 
 def fixed_chunks(spark, sf: str) -> DataFrame:
-    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(T.fixed_chunks(F.col("text"))).alias("chunk_index", "chunk"))
+    d = _t(spark, sf, "documents").select("doc_id", F.posexplode(fixed(F.col("text"))).alias("chunk_index", "chunk"))
     return d.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.sha2("chunk", 256).alias("content_hash"))
 
 
@@ -133,9 +134,10 @@ def admitted_events(spark, sf: str) -> DataFrame:
 
 
 def hourly_events(spark, sf: str) -> DataFrame:
-    path, base = f"{sf}/events.parquet", spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parquet*")  # a stream takes a file by a pattern only
-    return streamed(stream, f"{base}/hourly-{uuid.uuid4().hex}", lambda e: hourly(e, "ts", "event_type"))
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")  # a stream takes a file by a pattern only
+    # the table's files come in no order of time, so nothing counts as late
+    return streamed(stream, scratch_path(spark, "hourly"), lambda e: hourly(e, "ts", "event_type", late="3650 days"), ["hour", "event_type"])
 
 
 QUERIES = {
@@ -158,13 +160,12 @@ b AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf
 
 ORACLE_SQL = {
     "bm25_search": _BM25 + "SELECT doc_id, round(bm, 6) AS score FROM b WHERE round(bm, 6) > 0 ORDER BY score DESC, doc_id LIMIT 20",
-    "hybrid_search": _BM25 + f""", v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-x AS (SELECT d.doc_id, round(coalesce(list_cosine_similarity(v.e, (SELECT e FROM v WHERE vec_id = 0)), 0), 6) AS vector_score,
-  round(bm / (SELECT max(bm) FROM b), 6) AS bm25_score, round(exp(-0.6931471805599453 * (d.doc_id % 1000) / 365.0), 6) AS time_score,
-  round(len(list_intersect(t, {_LIST(PREFERENCES)})) / {len(PREFERENCES)}.0, 6) AS preference_score
-  FROM d JOIN b USING (doc_id) LEFT JOIN v ON v.vec_id = d.doc_id)
-SELECT *, round(0.35 * vector_score + 0.40 * bm25_score + 0.10 * time_score + 0.15 * preference_score, 6) AS score FROM x
-WHERE bm25_score > 0 OR vector_score <> 0 ORDER BY score DESC, doc_id LIMIT 20""",
+    "hybrid_search": _BM25 + f""", v AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+h AS (SELECT doc_id, row_number() OVER (ORDER BY list_cosine_similarity(e, (SELECT e FROM v WHERE doc_id = 0)) DESC, doc_id) AS rank FROM v ORDER BY rank LIMIT 80),
+x AS (SELECT d.doc_id, coalesce(1.0 / rank, 0) AS vector, bm / (SELECT max(bm) FROM b) AS bm25, exp(-0.6931471805599453 * (d.doc_id % 1000) / 365.0) AS temporal,
+  len(list_intersect(t, {_LIST(PREFERENCES)})) / {len(PREFERENCES)}.0 AS preference FROM d JOIN b USING (doc_id) LEFT JOIN h USING (doc_id) WHERE bm > 0 OR rank IS NOT NULL),
+y AS (SELECT *, 0.35 * vector + 0.40 * bm25 + 0.10 * temporal + 0.15 * preference AS score FROM x ORDER BY score DESC, doc_id LIMIT 20)
+SELECT doc_id, round(vector, 6) AS vector, round(bm25, 6) AS bm25, round(temporal, 6) AS temporal, round(preference, 6) AS preference, round(score, 6) AS score FROM y""",
     "document_frequency": f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY token",
     "document_keywords": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, {_TOKENS} AS t FROM documents)
 SELECT doc_id, array_to_string(list_filter(t, lambda w, i: list_position(t, w) = i)[1:20], ' ') AS keywords, len(t) AS n_tokens, greatest(1, length(x) // 4) AS estimate FROM d""",
@@ -198,6 +199,13 @@ b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstat
 SELECT o_orderkey, CASE WHEN a.o_orderstatus IS NULL THEN 'added' WHEN b.o_orderstatus IS NULL THEN 'removed' ELSE 'updated' END AS change
 FROM a FULL JOIN b USING (o_orderkey) WHERE a.o_orderstatus IS DISTINCT FROM b.o_orderstatus""",
     "page_kinds": """SELECT page_id, CASE WHEN html IS NULL OR NOT (contains(h, '<html') OR contains(h, '<!doctype')) THEN 'unknown'
-WHEN regexp_matches(h, '登录|login|captcha|验证码|无权|购买') THEN 'login' ELSE 'page' END AS kind FROM (SELECT page_id, html, lower(html) AS h FROM pages)""",
+WHEN regexp_matches(t, '登录|login|captcha|验证码|无权|购买') THEN 'login' ELSE 'page' END AS kind
+FROM (SELECT page_id, html, lower(decode(encode(html)[1:1024], 'replace')) AS h, lower(decode(encode(html)[1:8192], 'replace')) AS t FROM pages)""",
+    "admitted_events": """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_id, user_id, n, true AS allowed, [ts] AS kept FROM e WHERE n = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.n, len(list_filter(r.kept, lambda t: t >= e.ts - INTERVAL 1 DAY)) < 2,
+    CASE WHEN len(list_filter(r.kept, lambda t: t >= e.ts - INTERVAL 1 DAY)) < 2 THEN list_append(list_filter(r.kept, lambda t: t >= e.ts - INTERVAL 1 DAY), e.ts)
+    ELSE list_filter(r.kept, lambda t: t >= e.ts - INTERVAL 1 DAY) END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, user_id, allowed FROM r""",
     "hourly_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

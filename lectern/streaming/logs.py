@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def rate_limited(log: DataFrame, key: str, seconds: Column, order: list[str], limit: int = 20, window: float = 3600.0) -> DataFrame:
@@ -42,7 +43,8 @@ def rate_limited(log: DataFrame, key: str, seconds: Column, order: list[str], li
 
 
 def hourly(events: DataFrame, time: str, *keys: str, late: str = "2 hours") -> DataFrame:
-    """Rows by hour and keys, for a table or a stream; a stream forgets hours that are ``late`` behind."""
+    """Rows by hour and keys, for a table or a stream; a stream passes over rows that are ``late`` behind, and keeps no
+    hours that none can come for any more."""
     d = events.withColumn("__t", F.col(time).cast("timestamp"))
     if events.isStreaming:
         d = d.withWatermark("__t", late)
@@ -50,14 +52,23 @@ def hourly(events: DataFrame, time: str, *keys: str, late: str = "2 hours") -> D
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), *keys, "n")
 
 
-def streamed(events: DataFrame, folder: str, to_rows) -> DataFrame:
-    """What ``to_rows`` gives for the stream ``events``, run until its source has no more, as a table in ``folder``.
+def streamed(events: DataFrame, folder: str, to_rows, key: list[str]) -> DataFrame:
+    """What ``to_rows`` gives for the stream ``events``, run until its source has no more: the newest row of each key.
 
-    The checkpoint lies in the same shared folder, so a restarted run goes on where the last one ended.
+    Each batch appends the rows it has changed under its own number, so a batch that runs again replaces its own rows and
+    no others. The checkpoint lies in the same shared folder, and a later run goes on where the last one ended.
     """
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+    shape = to_rows(events)
 
-    query = to_rows(events).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = shape.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return events.sparkSession.read.parquet(f"{folder}/rows")
+    spark = events.sparkSession
+    spark.createDataFrame([], shape.schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")  # a stream without rows has none else
+    columns = shape.columns
+    rows = spark.read.schema(StructType([*shape.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    rest = [c for c in columns if c not in key]
+    d = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return d.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
