@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -247,25 +247,25 @@ def _links(left: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links of the sets in ``members`` (sid, n, grp), found tile by tile."""
     width = np.log(100 / percent)
     m = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width) + F.lit(1e-9)).cast("int"))
-    size = m.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"))
-    parts = m.groupBy("grp", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).cast("int").alias("parts"))
+    # of each group its rows, and how many parts each band has: sizes have few bands
+    size = m.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("rows"))
+    size = size.groupBy("grp").agg(F.sum("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("rows") / PART_ROWS).cast("int")))).alias("parts"))
     m = m.join(size, "grp")
-    small = m.where(F.col("rows") <= PART_ROWS).select("sid", F.concat_ws(":", "grp").alias("tile"), F.lit(2).alias("side"))
+    name = lambda lo, x, hi, y: F.concat_ws(":", "grp", lo.cast("string"), x.cast("string"), hi.cast("string"), y.cast("string"))
+    band = F.col("band")
+    parts = lambda b: F.coalesce(F.try_element_at("parts", b), F.lit(0))
+    x = F.pmod(F.xxhash64("sid"), parts(band)).cast("int")
+    at = lambda tile, side: F.struct(tile.alias("tile"), side.alias("side"))
+
+    def each(n: Column, f) -> Column:
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), f)
+
     # a large group: part x of a band meets the parts y >= x of its band, and all parts of the next band
-    big = m.where(F.col("rows") > PART_ROWS).join(parts, ["grp", "band"])
-    nxt = parts.select("grp", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
-    prv = parts.select("grp", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
-    big = big.join(nxt, ["grp", "band"], "left").join(prv, ["grp", "band"], "left").withColumn("x", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    name = lambda lo, x, hi, y: F.concat_ws(":", "grp", lo, x, hi, y)
-    def spread(n, tile, side):
-        n = F.coalesce(n, F.lit(0))
-        d = big.where(n > 0).withColumn("y", F.explode(F.sequence(F.lit(0), n - 1)))
-        return d.select("sid", tile(F.col("y")).alias("tile"), side(F.col("y")).alias("side"))
-    band, x = F.col("band"), F.col("x")
-    within = spread(F.col("parts"), lambda y: name(band, F.least(x, y), band, F.greatest(x, y)), lambda y: F.when(x == y, 2).when(x < y, 0).otherwise(1))
-    up = spread(F.col("above"), lambda y: name(band, x, band + 1, y), lambda y: F.lit(0))
-    down = spread(F.col("below"), lambda y: name(band - 1, y, band, x), lambda y: F.lit(1))
-    tiles = small.union(within).union(up).union(down)
+    spread = F.concat(
+        each(parts(band), lambda y: at(name(band, F.least(x, y), band, F.greatest(x, y)), F.when(x == y, 2).when(x < y, 0).otherwise(1))),
+        each(parts(band + 1), lambda y: at(name(band, x, band + 1, y), F.lit(0))), each(parts(band - 1), lambda y: at(name(band - 1, y, band, x), F.lit(1))),
+    )
+    tiles = m.select("sid", F.explode(F.when(F.col("rows") <= PART_ROWS, F.array(at(F.col("grp").cast("string"), F.lit(2)))).otherwise(spread)).alias("t")).select("sid", "t.tile", "t.side")
 
     def search(key: tuple, t: pa.Table) -> pa.Table:
         tile = Tile(np.asarray(t["sid"].to_numpy()), [np.frombuffer(v, U) for v in t["tokens"].to_pylist()], np.asarray(t["side"].to_numpy()), percent)
