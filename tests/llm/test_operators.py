@@ -128,7 +128,7 @@ def test_top_k_with_ties_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 8]) for i in range(400)] + [(i, [0.5] * 5) for i in range(400, 3000)]
     bad = [(3000, None), (3001, [1.0, None, 0.0, 0.0, 0.0]), (3002, [float("nan")] * 5), (3003, [float("inf")] * 5), (None, [0.1] * 5)]
-    v = topk.whole_vectors(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>"))
+    v = topk.whole_vectors(spark.createDataFrame([(i, x, 7, 1) for i, x in rows + bad], "vec_id long, embedding array<float>, score int, part int"))
     got: dict = {}
     for r in topk.top_k(v, v.where("vec_id % 100 = 0"), 10).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -140,6 +140,25 @@ def test_top_k_with_ties_copies_and_bad_vectors(spark):
     assert topk.top_k(v.where("vec_id < 3"), v.where("vec_id = 0"), 10).count() == 2
 
 
+@pytest.mark.parametrize("scale", [1.0, 3e5, 2e6, 1e12])
+def test_top_k_is_exact_for_large_components_and_repeated_ids(spark, scale):
+    rng = np.random.default_rng(9)
+    rows = [(i // 2, [float(x) for x in rng.standard_normal(int(rng.integers(2, 5))) * scale]) for i in range(300)]
+    rows += [(0, rows[0][1]), (7, rows[5][1])]
+    v = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got: dict = {}
+    for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    held = lambda n: max(-(1 << 63), min((1 << 63) - 1, n))
+    x = [(i, [int(math.floor(1024 * c)) for c in e]) for i, e in rows]
+    want: dict = {}
+    for i, q in x:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in x if j != i)[:4]
+            want.setdefault(i, []).extend((n, j, held(-s)) for n, (s, j) in enumerate(best, 1))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_near_duplicates_of_copies_in_any_order(spark):
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in range(60)]
