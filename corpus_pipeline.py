@@ -1,7 +1,11 @@
 """A corpus pipeline: toxic documents go, repeated lines go, one document of each near-duplicate group stays, documents
 with benchmark passages go, and what is left is packed into batches.
 
-Every stage is written as Parquet in the shared scratch folder and read again by the next.
+Every stage is written as Parquet in the shared scratch folder and read again by the next. Each takes any rows: null ids
+and texts, empty and very long texts, ties, repeated rows, empty tables, further columns of any name, which pass through
+all stages but the last. What each does with them stands in its operator's docstring; in short, null and empty texts
+are neither toxic nor copies nor leaks and stay, rows with a null id are judged by their text and never grouped, rows
+equal in id and text share one fate, and a document whose every line stands in earlier ones goes with its lines.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_repeated_lines(docs).select(*docs.columns)
+    return drop_repeated_lines(docs, counts=False, emptied=False).select(*docs.columns)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
