@@ -30,7 +30,6 @@ from .shared import components, table, written
 
 #: Sets in a part of a tile.
 PART_ROWS = 2048
-NO_ID = -(1 << 63)
 
 
 def shingles_of(w: B.Words, size: int) -> list[np.ndarray]:
@@ -112,9 +111,10 @@ class Tile:
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, class_id, component_id): one row for each row of ``docs``.
+    """(id, mark, n_shingles, class_id, component_id): one row for each row of ``docs``; ``mark`` is a hash of the text.
 
-    ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reached by links.
+    ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reached by links. Rows of one id
+    are one document to links, whatever their texts.
 
     Null text: no words, an empty set, no links: class and component are the row's own id. A text of fewer than
     ``shingle`` words is one shingle. Rows with a null id are counted but have no id to link by: their class and
@@ -123,18 +123,19 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, id_
     """
     spark = docs.sparkSession
     d, total = B.in_blocks(docs, id_col, text_col)
-    d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // B.BLOCK_BYTES)))))
+    n_blocks = max(1, -(-total // B.BLOCK_BYTES))
+    d = d.withColumn("mark", F.xxhash64("text"))
+    d = d.withColumn("block", F.pmod(F.xxhash64("id", "mark"), F.lit(n_blocks)))
 
     def sets(batches):
         for b in (x for batch in batches for x in B.pieces(batch, "text")):
             s = shingles_of(B.Words(b["text"], lower=True), shingle)
-            yield pa.record_batch({"id": b["id"].cast(pa.int64()), "set_key": pa.array([_key(x) for x in s], pa.binary()), "n_shingles": pa.array([len(x) for x in s], pa.int64())})
+            yield pa.record_batch({"id": b["id"].cast(pa.int64()), "mark": b["mark"], "set_key": pa.array([_key(x) for x in s], pa.binary()), "n_shingles": pa.array([len(x) for x in s], pa.int64())})
 
-    rows = written(d.select("id", "text").mapInArrow(sets, "id long, set_key binary, n_shingles long"), "sets")
-    classes = rows.where("id is not null and n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("sid"))
-    classes = written(classes, "classes")
-    n_blocks = max(1, -(-total // B.BLOCK_BYTES))
-    speakers = classes.select(F.pmod(F.xxhash64("sid"), F.lit(n_blocks)).alias("block"), F.lit(-1).alias("bucket"), F.lit(-1).alias("part"), F.concat(F.col("set_key")).alias("vals"))
+    rows = written(d.select("id", "mark", "text").mapInArrow(sets, "id long, mark long, set_key binary, n_shingles long"), "sets")
+    classes = rows.where("id is not null and n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("id", "mark")).alias("r"))
+    classes = written(classes.select("set_key", F.col("r.id").alias("sid"), F.col("r.mark").alias("mark")), "classes")
+    speakers = classes.select(F.pmod(F.xxhash64("sid", "mark"), F.lit(n_blocks)).alias("block"), F.lit(-1).alias("bucket"), F.lit(-1).alias("part"), F.concat(F.col("set_key")).alias("vals"))
     n_sieve = B.bucket_count(docs, total // 6 * 3 // 10)
 
     def own(t: pa.Table, told: pa.Table):
@@ -164,7 +165,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, id_
         stay = [i for i, x in enumerate(s) if met[i] >= _k(_least(len(x), percent))]
         return pa.table({"sid": pa.array(ids[stay], pa.int64()), "tokens": pa.array([s[i].tobytes() for i in stay], pa.binary())})
 
-    grouped = d.groupBy("block")
+    grouped = d.drop("mark").groupBy("block")
     asked = grouped.cogroup(speakers.groupBy("block")).applyInArrow(ask_sieve, B.REQUEST)
     told = B.answers(asked, B.in_many, 0, np.uint32, packed=True)
     left = grouped.cogroup(told.union(speakers).groupBy("block")).applyInArrow(pass_sieve, "sid long, tokens binary")
@@ -177,7 +178,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 75, id_
     alone = F.col("n_shingles") == 0
     out = rows.join(named, "set_key", "left")
     return out.select(
-        "id", "n_shingles",
+        "id", "mark", "n_shingles",
         F.when(alone | F.col("id").isNull(), F.col("id")).otherwise(F.col("sid")).alias("class_id"),
         F.when(alone | F.col("id").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
     )
@@ -276,9 +277,16 @@ def _links(left: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest doc_id (all rows with a null doc_id stay)."""
-    found = jaccard_components(docs, shingle, percent).where("id is null or id = component_id").select("id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.id), "left_semi")
+    """The rows of ``docs``, one document of each component: that with the smallest doc_id, and of its texts, if there are
+    several, that of the least hash.
+
+    Rows with a null doc_id or without words are in no component and stay. Rows equal in id and text are one document.
+    Long texts are taken whole. An empty table gives an empty table; columns of any name pass through.
+    """
+    c = jaccard_components(docs, shingle, percent).where("id is null or n_shingles = 0 or id = component_id")
+    alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
+    kept = c.groupBy(F.col("id").alias("__id"), F.when(alone, F.col("mark")).alias("__alone")).agg(F.min("mark").alias("__mark"))
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__mark")), "left_semi")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
