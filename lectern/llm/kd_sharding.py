@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import numbered, table, written
@@ -21,6 +21,9 @@ from .shared import numbered, table, written
 BINS = 8192
 
 
+MOST = (1 << 63) - 1
+
+
 @dataclass
 class Cut:
     """The search for one node's cut: rows below (value, tie) go left."""
@@ -28,15 +31,22 @@ class Cut:
     node: int
     dim: int
     lo: int
-    hi: int  # exclusive
+    hi: int  # inclusive
     want: float
     below: float = 0.0
     value: int | None = None  # set once the search is inside one value, over ties
     done: tuple[int, int] | None = None
 
 
+def _rows(spark: SparkSession, names: dict[str, str], rows: list[tuple]) -> DataFrame:
+    """A small table of whole numbers that is part of the plan; it has a row for each node in question."""
+    cell = lambda x, kind: f"CAST({'NULL' if x is None else repr(str(x))} AS {kind})"
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(cell(x, k) for x, k in zip(r, names.values())) + ')' for r in rows)} AS t({', '.join(names)})")
+
+
 def kd_shards(groups: DataFrame, dims: list[str], weight: str, tie: str, n_shards: int) -> DataFrame:
     """Adds ``shard`` (0 to n_shards - 1) to ``groups``, whose dims are longs and not null, and tie a long hash >= 0."""
+    spark = groups.sparkSession
     level = written(groups.withColumn("__node", F.lit(0)), "kd")
     ranges = level.agg(*[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]).first()
     whole = [max(1, (ranges[f"max_{d}"] or 0) - (ranges[f"min_{d}"] or 0)) for d in dims]
@@ -50,61 +60,59 @@ def kd_shards(groups: DataFrame, dims: list[str], weight: str, tie: str, n_shard
             if m > 1:
                 width = [(r[f"max_{d}"] - r[f"min_{d}"]) / whole[i] for i, d in enumerate(dims)]
                 dim = width.index(max(width))
-                cuts.append(Cut(r["__node"], dim, r[f"min_{dims[dim]}"], r[f"max_{dims[dim]}"] + 1, float(r["w"]) * (m // 2) / m))
+                cuts.append(Cut(r["__node"], dim, r[f"min_{dims[dim]}"], r[f"max_{dims[dim]}"], float(r["w"]) * (m // 2) / m))
         if not cuts:
             break
         tolerance = {c.node: c.want / 2000 for c in cuts}
-        while any(c.done is None for c in cuts):
-            _narrow(level, dims, weight, tie, [c for c in cuts if c.done is None], tolerance)
-        spark = level.sparkSession
+        while open_ := [c for c in cuts if c.done is None]:
+            for i in range(0, len(open_), BINS // 8):
+                _narrow(level, dims, weight, tie, open_[i:i + BINS // 8], tolerance)
         rows, grown = [], {}
         for c in cuts:
             first, m = shards[c.node]
-            rows.append((c.node, c.dim, *c.done, next_node, next_node + 1))
+            rows.append((c.node, c.dim, *(c.done if c.done[0] <= MOST else (MOST, 1 << 62)), next_node, next_node + 1))
             grown[next_node], grown[next_node + 1] = (first, m // 2), (first + m // 2, m - m // 2)
             next_node += 2
         shards = {n: s for n, s in shards.items() if s[1] == 1} | grown
-        split = spark.createDataFrame(rows, "__node int, __dim int, __cut long, __tie long, __left int, __right int")
+        split = _rows(spark, {"__node": "INT", "__dim": "INT", "__cut": "BIGINT", "__tie": "BIGINT", "__left": "INT", "__right": "INT"}, rows)
         v = F.get(F.array(*dims), F.col("__dim"))
         left = (v < F.col("__cut")) | ((v == F.col("__cut")) & (F.col(tie) < F.col("__tie")))
         level = level.join(split, "__node", "left").withColumn("__node", F.when(F.col("__dim").isNull(), F.col("__node")).otherwise(F.when(left, F.col("__left")).otherwise(F.col("__right"))))
         level = written(level.select(*groups.columns, "__node"), "kd")
-    named = level.sparkSession.createDataFrame([(n, first) for n, (first, _) in shards.items()], "__node int, shard int")
+    named = _rows(spark, {"__node": "INT", "shard": "INT"}, [(n, first) for n, (first, _) in shards.items()])
     return level.join(named, "__node").drop("__node")
 
 
 def _narrow(level: DataFrame, dims: list[str], weight: str, tie: str, cuts: list[Cut], tolerance: dict[int, float]) -> None:
-    """One pass over the data: every open search moves into the bin that holds its quantile, or ends."""
-    bins = max(8, BINS // len(cuts))
-    spark = level.sparkSession
-    open_ = spark.createDataFrame([(c.node, c.dim, c.lo, max(1, -(-(c.hi - c.lo) // bins)), c.value, c.hi) for c in cuts], "__node int, __dim int, __lo long, __step long, __value long, __hi long")
+    """One pass over the data: every open search moves into the bin that holds its quantile, or ends. Bins are at most BINS."""
+    bins = BINS // len(cuts)
+    step = {c.node: -(-(c.hi - c.lo + 1) // bins) for c in cuts}
+    wide = "DECIMAL(21,0)"  # the whole range of a long, and its width, fit
+    open_ = _rows(level.sparkSession, {"__node": "INT", "__dim": "INT", "__lo": wide, "__hi": wide, "__step": wide, "__value": "BIGINT"}, [(c.node, c.dim, c.lo, c.hi, step[c.node], c.value) for c in cuts])
     v: Column = F.get(F.array(*dims), F.col("__dim"))
     inside = F.col("__value").isNull() | (v == F.col("__value"))
-    at = F.when(F.col("__value").isNull(), v).otherwise(F.col(tie))
-    d = level.join(open_, "__node").where(inside).withColumn("__at", at).where("__at >= __lo and __at < __hi")
+    at = F.when(F.col("__value").isNull(), v).otherwise(F.col(tie)).cast("decimal(20,0)")
+    d = level.join(open_, "__node").where(inside).withColumn("__at", at).where("__at >= __lo and __at <= __hi")
     found: dict[int, dict[int, float]] = {c.node: {} for c in cuts}
-    for r in d.groupBy("__node", ((F.col("__at") - F.col("__lo")) / F.col("__step")).cast("long").alias("b")).agg(F.sum(weight).alias("w")).collect():
+    for r in d.groupBy("__node", F.expr("(__at - __lo) div __step").alias("b")).agg(F.sum(weight).alias("w")).collect():
         found[r["__node"]][r["b"]] = float(r["w"])
     for c in cuts:
-        step = max(1, -(-(c.hi - c.lo) // bins))
-        total, lo = c.below, c.lo
+        total, lo, width, w = c.below, c.hi + 1, step[c.node], 0.0
         for b in sorted(found[c.node]):
-            w = found[c.node][b]
-            lo = c.lo + b * step
+            w, lo = found[c.node][b], c.lo + b * width
             if total + w >= c.want:
                 break
             total += w
         else:
-            w, lo = 0.0, c.hi
+            w, lo = 0.0, c.hi + 1
         c.below = total
-        near = w <= tolerance[c.node]
-        if near or (step == 1 and c.value is not None):
-            edge = lo if c.want - total < total + w - c.want else min(lo + step, c.hi)
+        if w <= tolerance[c.node] or (width == 1 and c.value is not None):
+            edge = lo if c.want - total < total + w - c.want else min(lo + width, c.hi + 1)
             c.done = (edge, 0) if c.value is None else (c.value, edge)
-        elif step == 1:
-            c.value, c.lo, c.hi = lo, 0, (1 << 62)
+        elif width == 1:
+            c.value, c.lo, c.hi = lo, 0, (1 << 62) - 1
         else:
-            c.lo, c.hi = lo, min(lo + step, c.hi)
+            c.lo, c.hi = lo, min(lo + width - 1, c.hi)
 
 
 def shard_documents(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("source", "lang")) -> DataFrame:
@@ -126,7 +134,7 @@ def shard_documents(docs: DataFrame, n_shards: int | None = None, target_bytes:
     rows = written(rows, "rows")
     dims = ["d_id", "d_size", *[f"d_m{i}" for i in range(len(has))]]
     groups = rows.groupBy("grp").agg(
-        F.sum("size").alias("weight"), F.coalesce(F.min("id"), F.lit(-1)).alias("d_id"), F.min("size").alias("d_size"),
+        F.sum("size").alias("weight"), F.coalesce(F.min("id"), F.lit(-(1 << 63) + 1).cast("long")).alias("d_id"), F.min("size").alias("d_size"),
         *[F.min(f"m{i}").alias(f"d_m{i}") for i in range(len(has))],
     ).withColumn("tie", F.shiftrightunsigned(F.xxhash64("grp"), 2))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()

@@ -297,6 +297,23 @@ def test_shards_keep_equal_texts_together(spark):
     assert len({(r.text_crc32, r.size) for r in out}) == len({(r.text_crc32, r.size, r.shard) for r in out})
     for s in {r.shard for r in out}:
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {(r.doc_id, r.size, r.text_crc32) for r in out} == {(i, len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("ids", [(0, 2000), (-(1 << 63), (1 << 63) - 1)])
+def test_shards_are_boxes_of_near_equal_bytes(spark, ids):
+    rng = np.random.default_rng(4)
+    span = (ids[1] - ids[0]) // 2000
+    rows = [(ids[0] + i * span, "x" * int(rng.integers(1, 400)), "hot" if i % 3 else f"s{i % 7}", "en") for i in range(2000)] + [(ids[1], "last", "hot", "en"), (None, "none", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = {(r.id, r.text_crc32): r for r in shard_documents(docs, 6).collect()}
+    assert len(out) == len(rows)
+    total, biggest = sum(r.size for r in out.values()), {}
+    for r in out.values():
+        biggest[r.text_crc32] = biggest.get(r.text_crc32, 0) + r.size
+    load = [sum(r.size for r in out.values() if r.shard == s) for s in range(6)]
+    assert max(abs(x - total / 6) for x in load) <= total / 6 * 0.02 + 3 * max(biggest.values())
 
 
 def test_pipeline_stages(spark):
