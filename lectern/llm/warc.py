@@ -1,13 +1,15 @@
 """Legacy archives to WARC: ARC records of versions 1 and 2 are parsed and written again as WARC/1.1 records.
 
 An ARC file begins with a version block, whose third line names the fields of each record's header line; a record
-is that line, a line feed, as many bytes as the line's last field declares, and a line feed. Each record gets a WARC
-record with an id made from its content, a timestamp, a type and SHA-1 digests. Of records with equal payloads the
-one with the largest key is written whole and the others as revisits that name it.
+is that line, a line feed, as many bytes as the line's last field declares, and a line feed. The version block becomes a
+``warcinfo`` record, HTTP responses become ``response`` records and all else (DNS answers, say) ``resource`` records, each
+with an id made from its archive and its place there, a timestamp and SHA-1 digests. Of HTTP records with equal payloads
+one is written whole and the others as revisits that name it: that with the largest key, which a header of its own
+gives, and among records without keys that with the latest date.
 
 Archives are written by Spark's text sink, one file a task, a record a row, with the record's final CRLF CRLF as the
-line separator; they are read with the binary source and cut by declared lengths, so payloads may hold anything.
-Records are dealt to files by an even hash, and a file holds about ``ARCHIVE_BYTES``.
+line separator; bytes go through as they are. They are read with the binary source and cut by declared lengths, so
+payloads may hold anything. Records are dealt to files by an even hash, and a file holds about ``ARCHIVE_BYTES``.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def arc_preamble(version: int = 1, date: str = "20000101000000") -> bytes:
 
 
 def parse_arc(content: bytes) -> Iterator[dict]:
-    """Header fields and block of each record but the version block. Raises ValueError where a length can't hold."""
+    """Header fields, block and offset of each record, the version block first (without URL). Raises ValueError where a length can't hold."""
     at, names = 0, None
     while at < len(content):
         end = content.find(b"\n", at)
@@ -68,17 +70,18 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         if end < 0 or not values[-1].isdigit() or end + 1 + int(values[-1]) > len(content):
             raise ValueError(f"bad ARC record header at byte {at}: {line[:200]!r}")
         block = content[end + 1:end + 1 + int(values[-1])]
-        at = end + 1 + len(block)
+        here, at = at, end + 1 + len(block)
         if names is None:
             if not line.startswith("filedesc:"):
                 raise ValueError("an ARC file begins with a version block")
             names = block.decode("utf-8", "replace").split("\n")[1].strip().split(" ")
+            yield {"URL": None, "Archive-date": values[2] if len(values) > 2 else "", "Content-type": "text/plain", "block": block, "offset": here}
             continue
         if len(values) != len(names):  # blanks inside the URL
             values = [" ".join(values[: len(values) - len(names) + 1]), *values[len(values) - len(names) + 1:]]
         if len(values) != len(names):
             raise ValueError(f"an ARC header line of {len(values)} fields, not {len(names)}: {line[:200]!r}")
-        yield dict(zip(names, values)) | {"block": block}
+        yield dict(zip(names, values)) | {"block": block, "offset": here}
 
 
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -88,8 +91,8 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
 
 
-def record_id(key, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{digest}')}>"
+def record_id(archive: str, offset: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}/{offset}')}>"
 
 
 def warc_date(arc_date: str) -> str:
@@ -97,16 +100,23 @@ def warc_date(arc_date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(key, url: str, date: str, block: bytes, digest: str, keeper) -> str:
-    """Without the CRLF CRLF that ends it. A revisit holds the HTTP headers alone."""
-    revisit = key != keeper
+def warc_record(r: dict) -> bytes:
+    """Without the CRLF CRLF that ends it. ``keeper`` is the id of the record that this one revisits; a revisit holds the HTTP headers alone."""
+    block, revisit = r["block"], r["keeper"] is not None
     if revisit:
         block = block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(key, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}"]
+    kind = "revisit" if revisit else {"info": "warcinfo", "http": "response"}.get(r["kind"], "resource")
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {r['rid']}", f"WARC-Date: {r['date']}"]
+    if r["url"] is not None:
+        head += [f"WARC-Target-URI: {r['url']}", f"WARC-Payload-Digest: sha1:{r['digest']}", f"WARC-Payload-Length: {r['size']}"]
+    if r["key"] is not None:
+        head.append(f"WARC-Record-Key: {r['key']}")
     if revisit:
-        head += [f"WARC-Refers-To: {record_id(keeper, digest)}", f"WARC-Refers-To-Key: {keeper}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(head) + "\r\n\r\n" + block.decode("utf-8")
+        head += [f"WARC-Refers-To: {r['keeper']}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [] if r["keeper_key"] is None else [f"WARC-Refers-To-Key: {r['keeper_key']}"]
+    content = {"info": "application/warc-fields", "http": "application/http; msgtype=response"}.get(r["kind"], r["content_type"])
+    head += [f"WARC-Block-Digest: sha1:{base32_sha1(block)}", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block
 
 
 def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -146,25 +156,38 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", version: int = 1) ->
     return pages.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(pack, "content binary")
 
 
-RECORD = "key long, url string, date string, digest string, size long, block binary"
+RECORD = "rid string, kind string, key long, url string, date string, content_type string, digest string, size long, block binary"
+RECORD_TYPES = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
+
+
+def _table(rows: list[tuple], schema: str, types: tuple) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.record_batch({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
 
 
 def arc_records(archives: DataFrame) -> DataFrame:
-    """(key, url, date, digest, size, block) of all records of ARC files in ``archives.content``, plain or gzip."""
+    """Rows of ``RECORD`` for all records of ARC files in ``archives.content``, plain or gzip; null contents have none.
+
+    ``kind`` is info for a version block, http for a block that begins with an HTTP status line, else other; the payload,
+    of which digest and size are, is what follows the HTTP headers, or the whole block.
+    """
 
     def parse(batches):
         for b in batches:
             for content in b["content"].to_pylist():
+                if not content:
+                    continue
                 if content[:2] == b"\x1f\x8b":
                     content = gzip.decompress(content)
-                rows: list[tuple] = []
+                rows, archive = [], hashlib.sha1(content).hexdigest()
                 for r in parse_arc(content):
-                    head, payload = http_parts(r["block"])
+                    block, kind = r["block"], "info" if r["URL"] is None else "http" if r["block"].startswith(b"HTTP/") else "other"
+                    if kind == "info":
+                        block = b"software: archive converter\r\nformat: WARC File Format 1.1\r\ndescription: " + block.split(b"\n")[0].strip() + b"\r\n"
+                    head, payload = http_parts(block) if kind == "http" else ({}, block)
                     key = head.get("x-record-key") or None
-                    rows.append((None if key is None else int(key), r["URL"], warc_date(r["Archive-date"]), base32_sha1(payload), len(payload), r["block"]))
-                names = [x.split()[0] for x in RECORD.split(", ")]
-                types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                yield pa.record_batch({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
+                    rows.append((record_id(archive, r["offset"]), kind, None if key is None else int(key), r["URL"], warc_date(r["Archive-date"]), _clean(r["Content-type"], "application/octet-stream"), base32_sha1(payload), len(payload), block))
+                yield _table(rows, RECORD, RECORD_TYPES)
 
     return archives.select("content").mapInArrow(parse, RECORD)
 
@@ -172,28 +195,29 @@ def arc_records(archives: DataFrame) -> DataFrame:
 def write_warc(records: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Writes ``records`` (of ``arc_records``) as gzip WARC files under ``path``.
 
-    Payloads of at least ``min_bytes`` that stand under more than one key are written once, under the largest key.
+    HTTP payloads of at least ``min_bytes`` that stand more than once are written once. Records of the largest key are
+    all written whole, should it stand more than once.
     """
-    brief = records.select("key", "digest", "size")
-    best = brief.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("key").alias("keeper"), F.min("key").alias("least"))
-    moved = written(brief.distinct().join(best.where("keeper <> least"), "digest").where("key <> keeper").select("key", "digest", "keeper"), "revisits")
-    total = brief.agg(F.coalesce(F.sum(F.col("size") + 700), F.lit(0))).first()[0]
+    brief = records.where("kind = 'http'").select("rid", "key", "date", "digest", "size")
+    best = brief.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max(F.struct("key", "date", "rid")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = best.select("digest", F.col("b.rid").alias("keeper"), F.col("b.key").alias("keeper_key"))
+    keeps = F.col("key").eqNullSafe(F.col("keeper_key")) & (F.col("key").isNotNull() | (F.col("rid") == F.col("keeper")))
+    moved = written(brief.join(best, "digest").where(~keeps).select("rid", "keeper", "keeper_key"), "revisits")
+    total = records.agg(F.coalesce(F.sum(F.octet_length("block") + 700), F.lit(0))).first()[0]
     n = max(1, -(-total // ARCHIVE_BYTES))
-    d = records.repartition(n, "key", "digest") if n > 1 else records.coalesce(1)
-    d = d.join(moved.repartition(n, "key", "digest"), ["key", "digest"], "left") if n > 1 else d.join(moved, ["key", "digest"], "left").coalesce(1)
+    d = (records.repartition(n, "rid") if n > 1 else records.coalesce(1)).join(moved.repartition(n, "rid") if n > 1 else moved, "rid", "left")
+    d = d if n > 1 else d.coalesce(1)
 
     def render(batches):
         for b in batches:
-            out = [
-                warc_record(key, url, date, block, digest, key if keeper is None else keeper)
-                for key, url, date, block, digest, keeper in zip(*[b[c].to_pylist() for c in ("key", "url", "date", "block", "digest", "keeper")])
-            ]
-            yield pa.record_batch({"value": pa.array(out, pa.string())})
+            yield pa.record_batch({"value": pa.array([warc_record(r) for r in b.to_pylist()], pa.binary())})
 
-    d.select("key", "url", "date", "block", "digest", "keeper").mapInArrow(render, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    # the cast leaves bytes as they are
+    d.mapInArrow(render, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-WARC_ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string"
+WARC_ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, date string"
+WARC_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
 
 
 def read_warc_rows(spark, path: str) -> DataFrame:
@@ -206,12 +230,12 @@ def read_warc_rows(spark, path: str) -> DataFrame:
                 for head, block in read_warc(content.as_py()):
                     if head["warc-block-digest"] != "sha1:" + base32_sha1(block):
                         raise ValueError(f"block digest of {head['warc-record-id']} does not match")
-                    http, _ = http_parts(block)
-                    key, to = http.get("x-record-key"), head.get("warc-refers-to-key")
-                    rows.append((int(key) if key else None, int(http["content-length"]), head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(to) if to else None, head["warc-record-id"]))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
-                names = [x.split()[0] for x in WARC_ROW.split(", ")]
-                yield pa.record_batch({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
+                    number = lambda k, head=head: int(head[k]) if head.get(k) else None
+                    rows.append((
+                        number("warc-record-key"), number("warc-payload-length"), head.get("warc-payload-digest", "").removeprefix("sha1:"), head["warc-type"], number("warc-refers-to-key"),
+                        head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"],
+                    ))
+                yield _table(rows, WARC_ROW, WARC_TYPES)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(read, WARC_ROW)
@@ -221,18 +245,21 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", version: int = 1, m
     """``pages`` (id, url, html) through ARC archives into WARC archives and back, as rows of ``WARC_ROW``.
 
     Null html is an empty payload, and empty payloads are equal to each other. A null url is written as ``unknown:``.
-    Rows with a null id are responses, under no key. Rows equal in id and payload are each written, and are alike of
-    one type. Payloads of any length are taken whole. An empty table gives an empty table; other columns don't matter.
+    Rows with a null id have no key: they revisit a row with a key, or else the latest of their own. Rows equal in id and
+    payload are each written, under ids of their own, and are alike of one type. Payloads of any length are taken whole.
+    An empty table gives an empty table; other columns don't matter.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_warc(arc_records(pages_to_arc(pages, id_col, version)), path, min_bytes)
-    return read_warc_rows(spark, path)
+    # stored, since each archive is packed from what a task happens to read, and its ids are made from it
+    records = written(arc_records(pages_to_arc(pages, id_col, version)), "arc")
+    write_warc(records, path, min_bytes)
+    return read_warc_rows(spark, path).where("record_type <> 'warcinfo'")
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     """All pages as WARC records, read back."""
-    return convert_pages(table(spark, sf_dir, "pages")).drop("record_id")
+    return convert_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = r"""

@@ -183,16 +183,33 @@ def test_archives_round_trip(spark, version):
         top = max(keys, default=None)
         want.append((k, len((h or "").encode()), sha(h), "response" if k == top else "revisit", None if k == top else top))
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out), key=repr) == sorted(want, key=repr)
+    assert len({r.record_id for r in out}) == len(out)
+    assert warc.convert_pages(spark.createDataFrame([], "page_id long, url string, html string, kind string")).count() == 0
 
 
 def test_archive_headers_that_lie_are_errors():
     good = warc.arc_preamble(2) + warc.arc_record(7, "http://a", b"data", 2)
-    assert [r["block"][-4:] for r in warc.parse_arc(good)] == [b"data"]
+    assert [r["block"][-4:] for r in warc.parse_arc(good)][1:] == [b"data"]
     for bad in (good[:-3], good[len(warc.arc_preamble(2)):], good.replace(b"Archive-length\n", b"Length Archive-length\n", 1)):
         with pytest.raises(ValueError):
             list(warc.parse_arc(bad))
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_of_images_and_dns_answers(spark, tmp_path, version):
+    extra = "" if version == 1 else "200 - - 0 x.arc "
+    image = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG\xff\xfe\r\n\r\n\x00"
+    records = [("http://a/1.png", "20010101000000", image), ("http://a/2.png", "20020101000000", image), ("dns:a", "20010101000000", b"a. 1 IN A 1.2.3.4\n"), ("dns:b", "20010101000000", b"b. 1 IN A 5.6.7.8\n")]
+    arc = warc.arc_preamble(version) + b"".join(f"{u} 0.0.0.0 {d} text/x {extra}{len(b)}\n".encode() + b + b"\n" for u, d, b in records)
+    found = warc.arc_records(spark.createDataFrame([(arc,), (warc.gzip.compress(arc[:-1]),), (None,)], "content binary"))
+    assert found.count() == 10
+    one = warc.arc_records(spark.createDataFrame([(arc,)], "content binary"))
+    warc.write_warc(one, f"file://{tmp_path}/w")
+    out = sorted(((r.record_type, r.url, r.payload_bytes, r.date[:4]) for r in warc.read_warc_rows(spark, f"file://{tmp_path}/w").collect()), key=repr)
+    assert out == sorted([("warcinfo", None, None, "2000"), ("revisit", "http://a/1.png", 11, "2001"), ("response", "http://a/2.png", 11, "2002"), ("resource", "dns:a", 18, "2001"), ("resource", "dns:b", 18, "2001")], key=repr)
+    assert len({r.record_id for r in warc.read_warc_rows(spark, f"file://{tmp_path}/w").collect()}) == 5
+
+
 def test_leaks_are_found_and_clean_texts_left(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
