@@ -439,7 +439,7 @@ SELECT user_id AS session_id, CASE last WHEN 'signup' THEN 'awaiting_user_login'
     "idle_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M') AS opened, strftime(max(ts), '%Y-%m-%d %H:%M') AS last_used, count(*) AS n FROM s GROUP BY user_id, s""",
-    "dag_waves": """WITH RECURSIVE r AS (SELECT CAST(p_partkey AS BIGINT) AS node_id, CAST(0 AS BIGINT) AS wave FROM part UNION SELECT p_partkey, r.wave + 1 FROM r JOIN part ON r.node_id = p_partkey // 2 OR r.node_id = p_partkey // 3)
+    "dag_waves": """WITH RECURSIVE r AS (SELECT CAST(p_partkey AS BIGINT) AS node_id, CAST(0 AS BIGINT) AS wave FROM part UNION SELECT p_partkey, r.wave + 1 FROM r JOIN part ON r.node_id >= 1 AND (r.node_id = p_partkey // 2 OR r.node_id = p_partkey // 3))
 SELECT node_id, max(wave) AS wave FROM r GROUP BY node_id""",
     "planned_tasks": """WITH g AS (SELECT item_id, item_id % 50 >= 30 OR length('a survey ' || left(text, 100)) >= 180 AS c FROM benchmark WHERE item_id % 4 <> 0 AND text IS NOT NULL)
 SELECT item_id, 'research_scope' AS node_id, '' AS depends_on, false AS optional FROM g UNION ALL SELECT item_id, 'argument_structure', 'research_scope', false FROM g UNION ALL SELECT item_id, 'citation_policy', 'research_scope', false FROM g

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lectern import catalog
+from lectern import catalog, catalog_more
 from lectern.functions import text as T
 from lectern.operators import relational as R
 from lectern.operators.retrieval import bm25
@@ -29,9 +29,12 @@ def same(spark, name, queries, sql):
     assert sorted((tuple(norm(r[c]) for c in columns) for r in df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+QUERIES, SQL = catalog.QUERIES | catalog_more.QUERIES, catalog.ORACLE_SQL | catalog_more.ORACLE_SQL | {k: catalog.ORACLE_SQL[v] for k, v in catalog_more.SAME_AS.items()}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, name):
-    same(spark, name, catalog.QUERIES, catalog.ORACLE_SQL)
+    same(spark, name, QUERIES, SQL)
 
 
 def test_bm25_scores_only_matching_texts(spark):
