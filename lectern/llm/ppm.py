@@ -6,11 +6,13 @@ bytes. A byte is coded at the longest context that has been seen; if the byte ha
 coded and the next shorter context tried. Escapes follow method C (as many escapes as distinct bytes), and bytes that
 longer contexts have offered are excluded from shorter ones; below order 0 all bytes that are left are equal.
 
-The trie is never in one place. A text's block counts its distinct 5-byte strings and sends them to the bucket of
-their last two context bytes, which holds the whole subtree of orders 2 to 4, works out the log probability of
-each string, and sends it back. Orders 0 and 1 are at most 65,536 counts, a table of bounded size that all buckets get.
-As bytes seen after a context are also seen after its shorter ones, excluded counts are one number a context.
-Word counts take the same way in the same exchange.
+The trie is never in one place. A text's block counts its distinct 5-byte strings and sends each to a bucket by its
+hash, where the counts of all blocks are added. The sums, each string once however many blocks hold it, go on to the
+bucket of their last two context bytes, which holds the whole subtree of orders 2 to 4 (at most 2**24 strings) and works
+out the log probability of each string; the answers go back the same way. So a frequent context costs its distinct
+strings and not its share of the text. Orders 0 and 1 are at most 65,536 counts, a table of bounded size that all
+buckets get. As bytes seen after a context are also seen after its shorter ones, excluded counts are one number a
+context. Word counts take the first exchange and its way back.
 """
 
 from __future__ import annotations
@@ -179,11 +181,9 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
         keys, index = np.unique(h, return_inverse=True)
         return keys, index, np.bincount(index[train[w.text_of_word()]], minlength=len(keys))
 
-    def bucket_of(strings: np.ndarray) -> np.ndarray:
-        return (B.mix((strings >> U(8)) & U(65535), 3) % U(n_strings)).astype(np.int64)
-
-    def arranged(strings: np.ndarray):
-        bucket = bucket_of(strings)
+    def by_context(strings: np.ndarray):
+        """The order of strings by the bucket of their last two context bytes, and where each bucket begins."""
+        bucket = (B.mix((strings >> U(8)) & U(65535), 3) % U(n_strings)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         return order, np.searchsorted(bucket[order], np.arange(n_strings + 1))
 
@@ -198,32 +198,58 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
         s = Stream(w)
         learnt, n = distinct(s.keys[train[s.text_of()]])
         strings, _ = distinct(s.keys)
-        vals = _lookup(learnt, n, strings).astype(np.uint32)
-        order, cut = arranged(strings)
-        strings, vals = strings[order], vals[order]
-        used = [b for b in range(n_strings) if cut[b] < cut[b + 1]]
-        more = pa.table({
-            "bucket": pa.array([n_words + b for b in used], pa.int32()), "block": pa.array([block] * len(used), pa.int64()),
-            "keys": pa.array([strings[cut[b]:cut[b + 1]].tobytes() for b in used], pa.binary()),
-            "vals": pa.array([vals[cut[b]:cut[b + 1]].tobytes() for b in used], pa.binary()),
-        })
-        return pa.concat_tables([asked, more])
+        more = B.requests(block, strings, n_strings, _lookup(learnt, n, strings).astype(np.uint32))
+        return pa.concat_tables([asked, more.set_column(0, "bucket", pa.array(more["bucket"].to_numpy() + n_words, pa.int32()))])
 
-    def answer(key: tuple, t: pa.Table) -> pa.Table:
-        bucket, blocks = key[0].as_py(), t["block"].to_pylist()
+    def merged(t: pa.Table):
+        """Where each block's keys end, which of the distinct keys each is, these keys, and the sums of their counts."""
         blobs = [np.frombuffer(x, U) for x in t["keys"].to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in t["vals"].to_pylist()])
         keys, index = np.unique(np.concatenate(blobs), return_inverse=True)
-        counts = np.bincount(index, weights=counts, minlength=len(keys))
-        part = int(bucket >= n_words)
-        out = log_probabilities(keys, counts, low).astype(np.float32) if part else counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else U)
-        out = out[index]
+        return np.cumsum([0, *map(len, blobs)]), index, keys, np.bincount(index, weights=counts, minlength=len(keys))
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        cut, index, keys, counts = merged(t)
+        if bucket >= n_words:  # sums of strings go on to their contexts
+            order, at = by_context(keys)
+            used = [b for b in range(n_strings) if at[b] < at[b + 1]]
+            k, v = keys[order], counts[order].astype(np.int64)
+            return pa.table({
+                "block": pa.array([bucket] * len(used), pa.int64()), "bucket": pa.array(used, pa.int32()), "part": pa.array([ON] * len(used), pa.int32()),
+                "keys": pa.array([k[at[b]:at[b + 1]].tobytes() for b in used], pa.binary()), "vals": pa.array([v[at[b]:at[b + 1]].tobytes() for b in used], pa.binary()),
+            })
+        out = counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else U)[index]
+        # the last row is the number of known words of this bucket, for no block
+        vals = [out[a:b].tobytes() for a, b in zip(cut, cut[1:])] + [np.int64((counts > 0).sum()).tobytes()]
+        blocks = [*t["block"].to_pylist(), -1]
+        return pa.table({
+            "block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "part": pa.array([0] * (len(blocks) - 1) + [2], pa.int32()),
+            "keys": pa.nulls(len(blocks), pa.binary()), "vals": pa.array(vals, pa.binary()),
+        })
+
+    def contexts(key: tuple, t: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, U) for x in t["keys"].to_pylist()]
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in t["vals"].to_pylist()])
+        out = log_probabilities(np.concatenate(blobs), counts.astype(np.float64), low).astype(np.float32)
         cut = np.cumsum([0, *map(len, blobs)])
-        vals = [out[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-        parts = [part] * len(blocks)
-        if not part:  # the number of known words of this bucket, for no block
-            blocks, vals, parts = [*blocks, -1], [*vals, np.int64((counts > 0).sum()).tobytes()], [*parts, 2]
-        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": pa.array([bucket] * len(blocks), pa.int32()), "part": pa.array(parts, pa.int32()), "vals": pa.array(vals, pa.binary())})
+        return pa.table({
+            "bucket": t["block"].cast(pa.int32()), "context": pa.array([key[0].as_py()] * len(blobs), pa.int32()), "vals": pa.array([out[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+        })
+
+    def answer(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
+        if not t.num_rows or key[0].as_py() < n_words:
+            return ANSWERED.empty_table()
+        cut, index, keys, _ = merged(t)
+        logp = np.zeros(len(keys), np.float32)
+        order, at = by_context(keys)
+        for c, v in zip(told["context"].to_pylist(), told["vals"].to_pylist()):
+            logp[order[at[c]:at[c + 1]]] = np.frombuffer(v, np.float32)
+        out = logp[index]
+        n = t.num_rows
+        return pa.table({
+            "block": t["block"].cast(pa.int64()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "part": pa.array([1] * n, pa.int32()), "vals": pa.array([out[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+        })
 
     def score(key: tuple, t: pa.Table, told: pa.Table) -> pa.Table:
         if key[-1].as_py() == -1:
@@ -235,7 +261,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
         counts, order, cut = np.zeros(len(words)), *B.by_bucket(words, n_words)[::2]
         strings, _ = distinct(s.keys)
         logp = np.zeros(len(strings))
-        order_s, cut_s = arranged(strings)
+        order_s, cut_s = B.by_bucket(strings, n_strings)[::2]
         for bucket, part, v in zip(told["bucket"].to_pylist(), told["part"].to_pylist(), told["vals"].to_pylist()):
             if part:
                 b = bucket - n_words
@@ -252,7 +278,10 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
         }, schema=SCHEMA)
 
     grouped = d.groupBy("block")
-    told = grouped.applyInArrow(ask, B.REQUEST).groupBy("bucket").applyInArrow(answer, B.ANSWER)
+    asked = grouped.applyInArrow(ask, B.REQUEST).groupBy("bucket")
+    sums = asked.applyInArrow(add, "block long, bucket int, part int, keys binary, vals binary")
+    chances = sums.where(F.col("part") == ON).drop("part").groupBy("bucket").applyInArrow(contexts, "bucket int, context int, vals binary")
+    told = asked.cogroup(chances.groupBy("bucket")).applyInArrow(answer, B.ANSWER).union(sums.where(F.col("part") != ON).drop("keys"))
     out = written(grouped.cogroup(told.groupBy("block")).applyInArrow(score, SCORED), "scored")
     real = out.where("held_out is not null")
     ends, words = real.where("not held_out").agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
@@ -265,6 +294,8 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc
     )
 
 
+ON = 8  # part of sums that go on
+ANSWERED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("part", pa.int32()), ("vals", pa.binary())])
 SCHEMA = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("words", pa.int64()), ("known", pa.int64()), ("log_counts", pa.float64()), ("score", pa.float64()), ("kinds", pa.int64())])
 
 
