@@ -56,27 +56,31 @@ def repeated_runs(docs: DataFrame, gram: int = 2, window: int = 2, long_words: i
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"), _lines(F.col(f"`{text_col}`").cast("string")).alias("lines"))
     words = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     d = d.select("id", "mark", F.transform(F.filter(F.transform("lines", _plain), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), words(x).alias("n"))).alias("x"))
-    d = d.select("id", "mark", F.col("x.h").alias("h"), F.col("x.n").alias("n")).where((F.size("h") >= run) | F.exists("n", lambda n: n > long_words) | (F.size("h") == 2))
-    d = written(d.dropDuplicates(["id", "mark"]), "lines")
-    g = d.withColumn("g", F.transform(_numbers(F.size("h") - (gram - 1)), lambda i: F.xxhash64(F.slice("h", i + 1, gram))))
+    d = written(d.dropDuplicates(["id", "mark"]), "lines").select("id", "mark", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    d = d.where((F.size("h") >= run) | F.exists("n", lambda n: n > long_words) | (F.size("h") == 2))
+    grams = F.transform(_numbers(F.size("h") - (gram - 1)), lambda i: F.xxhash64(F.slice("h", i + 1, gram)))
 
-    def selected(s: Column) -> Column:
-        """Of the window that begins at gram s: the least hash, and of equals the last; k counts back from s."""
-        return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct(F.get("g", s + k).alias("f"), (-k).alias("k"))))
+    def selected(g: Column, s: Column) -> Column:
+        """Of the window that begins at gram s: the least hash, and of equals the last, with its place p."""
+        least = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.struct(F.get(g, s + k).alias("f"), (-k).alias("k"))))
+        return _once(least, lambda m: F.struct(m["f"].alias("f"), (s - m["k"]).alias("p")))
 
-    def found(s: Column, length: int, f: Column, k: Column) -> Column:
-        return F.struct(s.alias("s"), F.lit(length).alias("length"), f.alias("f"), (s - k).alias("p"), F.xxhash64(F.slice("h", s + 1, length), F.lit(length)).alias("whole"))
+    d = d.withColumn("m", _once(grams, lambda g: F.transform(_numbers(F.size("h") - (run - 1)), lambda s: selected(g, s))))
+
+    def found(s: Column, length: int, f: Column, fresh: Column) -> Column:
+        return F.struct(s.alias("s"), F.lit(length).alias("length"), f.alias("f"), fresh.alias("fresh"), F.xxhash64(F.slice("h", s + 1, length), F.lit(length)).alias("whole"))
 
     def long_runs(length: int) -> Column:
         total = lambda s: sum((F.get("n", s + i) for i in range(1, length)), F.get("n", s))
         some = F.filter(_numbers(F.size("h") - (length - 1)), lambda s: total(s) > long_words)
-        return F.transform(some, lambda s: found(s, length, F.xxhash64(F.slice("h", s + 1, length), F.lit(-length)), F.lit(0)))
-
-    usual = F.transform(_numbers(F.size("h") - (run - 1)), lambda s: _once(selected(s), lambda m: found(s, run, m["f"], m["k"])))
-    w = g.select("id", "mark", F.concat(usual, *[long_runs(i) for i in range(1, min(run, 3))]).alias("w"))
-    often = w.select(F.explode(F.array_distinct(F.transform("w", lambda x: F.struct(x["f"].alias("f"), x["p"].alias("p"))))).alias("x"))
-    often = often.groupBy("x.f").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("f")
-    at = w.select("id", "mark", F.explode("w").alias("w")).select("id", "mark", "w.s", "w.length", "w.f", "w.whole").join(often, "f", "left_semi")
+        return F.transform(some, lambda s: found(s, length, F.xxhash64(F.slice("h", s + 1, length), F.lit(-length)), F.lit(True)))
+
+    # a position that the window before has selected as well isn't a new one
+    usual = F.transform("m", lambda m, s: found(s, run, m["f"], (s == 0) | (F.get("m", s - 1)["p"] != m["p"])))
+    w = d.select("id", "mark", F.explode(F.concat(usual, *[long_runs(i) for i in range(1, min(run, 3))])).alias("w"))
+    w = written(w.select("id", "mark", "w.*"), "windows")
+    often = w.where("fresh").groupBy("f").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("f")
+    at = w.drop("fresh").join(often, "f", "left_semi")
     first = at.groupBy("f", "length", "whole").agg(F.min(F.struct("id", "mark", "s")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     later = at.join(first, ["f", "length", "whole"]).where(~F.struct("id", "mark", "s").eqNullSafe(F.col("first")))
     own = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.mark") == F.col("mark"))
