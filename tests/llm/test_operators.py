@@ -7,14 +7,16 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, packing, ppm, topk, toxicity, warc
 from lectern.llm import registry
-from lectern.llm.jaccard_join import jaccard_components
+from lectern.llm.jaccard_join import jaccard_components, near_duplicates_dropped
 from lectern.llm.kd_sharding import shard_documents
 from lectern.llm.line_dedup import drop_repeated_lines
+from lectern.llm.substring_dedup import remove_repeated_passages
 from tests.test_catalog import SF, same
 
 AWKWARD = [(1, "one two three four five six"), (2, None), (3, ""), (4, "one two three four five six"), (4, "one two three four five six"), (None, "a b"), (5, "word " * 5000), (6, "line\n\nline\n"), (7, "É ünï 😀")]
@@ -36,17 +38,91 @@ def test_query_agrees_with_sql(spark, name):
     same(spark, name, registry.QUERIES, registry.ORACLE_SQL)
 
 
-def test_awkward_and_empty_documents(spark, awkward, empty):
-    labels = spark.createDataFrame([(1, 1), (4, 0), (5, None)], "doc_id long, toxic int")
-    bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, "")], "item_id long, text string")
+LABELS, BENCH = [(1, 1), (4, 0), (5, None)], [(1, "one two three four five six"), (2, None), (3, "")]
+
+
+@pytest.fixture(scope="module")
+def side(spark):
+    return spark.createDataFrame(LABELS, "doc_id long, toxic int"), spark.createDataFrame(BENCH, "item_id long, text string")
+
+
+def rows_of(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
+
+
+def test_awkward_documents_in_each_operator(spark, awkward, side):
+    words = lambda t: len((t or "").split())
+    keep = lambda t, n: hashlib.sha256((" ".join((t or "").split()) if not n else "").encode()).hexdigest()
+    removed = [5000 if words(t) == 5000 else 0 for _, t in AWKWARD]
+    d = remove_repeated_passages(awkward, 35).withColumn("sha", F.sha2("kept", 256))
+    assert rows_of(d, "id", "n_words", "n_removed", "sha") == sorted(((i, words(t), n, keep(t, n)) for (i, t), n in zip(AWKWARD, removed)), key=repr)
+    size = lambda t: len((t or "").encode())
+    d = shard_documents(awkward, 3)
+    assert rows_of(d, "id", "size", "text_crc32") == sorted(((i, size(t) + 1, zlib.crc32((t or "").encode())) for i, t in AWKWARD), key=repr)
+    assert rows_of(d.groupBy("shard").agg(F.max("slot").alias("m"), (F.count(F.lit(1)) - 1).alias("n")).where("m <> n"), "m") == []
+    d = ppm.lm_scores(awkward)
+    assert rows_of(d, "id", "held_out", "n_tokens") == sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, words(t) + 1) for i, t in AWKWARD), key=repr)
+    assert len({r.score for r in d.where("id = 4 or id = 1").collect()}) == 1
+    d = drop_repeated_lines(awkward.withColumn("n_lines", F.lit("mine")), counts=False)
+    assert rows_of(d, "doc_id", "text", "id", "n_lines") == sorted(((i, t, "x", "mine") for i, t in AWKWARD), key=repr)
+    group = {1: 1, 4: 1}
+    d = jaccard_components(awkward)
+    assert rows_of(d, "id", "n_shingles", "component_id") == sorted(((i, {"one two three four five six": 2, "line\n\nline\n": 1, "a b": 1}.get(t, 0 if not words(t) else 1), group.get(i, i)) for i, t in AWKWARD), key=repr)
+    assert rows_of(near_duplicates_dropped(awkward), "doc_id", "id", "rank") == sorted(((i, "x", 1) for i, t in AWKWARD if i != 4), key=repr)
+    d = decontaminate.benchmark_leaks(awkward, side[1])
+    assert rows_of(d, "id", "item_ids") == sorted(((i, [1] if i in (1, 4) else []) for i, _ in AWKWARD), key=repr)
+    assert rows_of(decontaminate.without_leaks(awkward, side[1]), "doc_id", "block") == sorted(((i, "y") for i, _ in AWKWARD if i not in (1, 4)), key=repr)
+    d = packing.packed(awkward)
+    assert rows_of(d, "id", "n_tokens", "padding") == sorted(((i, words(t) + 1, 0) for i, t in AWKWARD), key=repr)
+    d = toxicity.toxicity_scores(awkward, side[0])
+    assert rows_of(d, "id", "held_out") == sorted(((i, i is None or zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in AWKWARD), key=repr)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in d.collect()) and len({r.score for r in d.where("id = 1 or id = 4").collect()}) == 1
+    assert toxicity.without_toxic(awkward, side[0]).columns == awkward.columns
+
+
+def test_empty_documents_in_each_operator(spark, empty, side):
     for f in (
-        lambda d: toxicity.toxicity_scores(d, labels), lambda d: ppm.lm_scores(d), lambda d: shard_documents(d, 3), lambda d: drop_repeated_lines(d),
-        lambda d: jaccard_components(d), lambda d: decontaminate.benchmark_leaks(d, bench), lambda d: packing.packed(d),
+        lambda d: toxicity.toxicity_scores(d, side[0]), lambda d: toxicity.without_toxic(d, side[0]), ppm.lm_scores, lambda d: shard_documents(d, 3), drop_repeated_lines, jaccard_components,
+        near_duplicates_dropped, lambda d: decontaminate.benchmark_leaks(d, side[1]), lambda d: decontaminate.without_leaks(d, side[1]), packing.packed, remove_repeated_passages,
     ):
-        assert f(awkward).count() == len(AWKWARD)
         assert f(empty).count() == 0
-    leaks = {(r.id, tuple(r.item_ids)) for r in decontaminate.benchmark_leaks(awkward, bench).collect()}
-    assert {i for i, items in leaks if items} == {1, 4}
+
+
+def test_unlike_long_words_of_one_structure_are_unlike(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    fill = " ".join(f"f{i}" for i in range(20))
+    docs = spark.createDataFrame([(0, f"{a} {fill}"), (1, f"{b} {fill}"), (2, a), (3, b)], "doc_id long, text string")
+    assert rows_of(remove_repeated_passages(docs, 5), "id", "n_removed") == [(0, 20), (1, 20), (2, 0), (3, 0)]
+    assert rows_of(jaccard_components(docs), "id", "component_id") == [(0, 0), (1, 0 if 15 * 100 >= 75 * 17 else 1), (2, 2), (3, 3)]
+    known = {r.id: r.n_known for r in ppm.lm_scores(docs.where("doc_id > 1"), folds=10 ** 9, held=zlib.crc32(b"3") % 10 ** 9).collect()}
+    assert known == {2: 2, 3: 1}
+
+
+def test_items_in_several_blocks_leak_as_in_one(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 200, 12))) for i in range(9)]
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 200, 40)) + " " + items[i % 9][1] * (i % 3 > 0)) for i in range(30)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = rows_of(decontaminate.benchmark_leaks(d, b), "id", "item_ids")
+    monkeypatch.setattr(decontaminate, "ITEM_ROWS", 4)
+    assert rows_of(decontaminate.benchmark_leaks(d, b), "id", "item_ids") == whole and sum(map(len, (x for _, x in whole))) >= 20
+
+
+def test_features_of_toxicity_by_hand():
+    text = "You are an 1d10t! i.d.i.o.t, STUPID 42 well-known"
+    m = toxicity.Marks(pa.array([text, "", None, "idiot", "you"]))
+    words = [bytes(m.plain[a:b]).decode() for a, b in zip(m.starts, m.ends)]
+    assert words == ["you", "are", "an", "idiot", "idiot", "stupid", "well", "known", "idiot", "you"] and m.of.tolist() == [0] * 8 + [3, 4]
+    assert m.disguised.tolist() == [False, False, False, True, True] + [False] * 5
+    f = toxicity.features_of(m, np.zeros(0, np.uint64), np.zeros(0))
+    assert f["fixed"].tolist() == [3 / 8, 0, 0, 1, 0] and f["near"].tolist() == [2 / 8, 0, 0, 0, 0] and f["second"].tolist() == [1 / 8, 0, 0, 0, 1]
+    assert f["capitals"][0] == 7 / len(text) and f["digits"][0] == 5 / len(text) and f["words"].tolist() == [math.log1p(n) for n in (8, 0, 0, 1, 1)]
+    keys = np.unique(toxicity._hashes(["stupid", "known"]))
+    crossed = np.array([[1.0, 1.0], [0.0, 0.0]])
+    assert toxicity.features_of(m, keys, crossed, np.array([0, 0, 0, 0, 0]))["learned"][0] == 2 / 8 and toxicity.features_of(m, keys, crossed, np.array([1, 0, 0, 0, 0]))["learned"][0] == 0
 
 
 def test_toxicity_without_both_classes_is_a_constant(spark, awkward):
@@ -333,14 +409,100 @@ def test_shards_are_boxes_of_near_equal_bytes(spark, ids):
     assert max(abs(x - total / 6) for x in load) <= total / 6 * 0.02 + 3 * max(biggest.values())
 
 
-def test_pipeline_stages(spark):
+def brute_lines(docs: list[tuple[int, str]]) -> dict[int, str | None]:
+    """Texts without later repeats of runs of three lines or over fifty words; None where nothing is left of some lines."""
+    plain = {i: [(n, " ".join(x.split())) for n, x in enumerate(t.split("\n")) if x.split()] for i, t in docs}
+    first: dict = {}
+    gone: dict = {i: set() for i in plain}
+    for i in sorted(plain):
+        for j in range(len(plain[i])):
+            for k in (1, 2, 3):
+                run = tuple(x for _, x in plain[i][j:j + k])
+                if len(run) == k and (k == 3 or sum(len(x.split()) for x in run) > 50):
+                    at = first.setdefault(run, (i, j))
+                    if at != (i, j):
+                        gone[i] |= {plain[i][x][0] for x in range(max(j, at[1] + k) if at[0] == i else j, j + k)}
+    out = {}
+    for i, t in docs:
+        out[i] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
+        if gone[i] and len(gone[i]) == len(plain[i]):
+            out[i] = None
+    return out
+
+
+def brute_groups(texts: dict[int, str]) -> set[int]:
+    """The least id of each group of linked texts."""
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    return {i for i in texts if root[i] == i}
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 900, n))
+    insults = ["idiot", "scum", "moron", "trash"]
+    docs = {i: draw(int(rng.integers(30, 80))) for i in range(400)}
+    toxic = set(range(0, 400, 7))
+    for i in toxic:
+        w = docs[i].split()
+        for k in range(0, len(w), 9):
+            w[k] = insults[(i + k) % 4]
+        docs[i] = " ".join(w)
+    item = [draw(20) for _ in range(4)]
+    shared, passage = "\n".join(draw(8) for _ in range(4)), draw(60)
+    for n, i in enumerate(x for x in range(400) if x not in toxic):
+        if n % 20 == 0:
+            docs[i] = f"{docs[i]}\n{shared}\n{draw(5)}"
+        elif n % 20 == 1:
+            docs[i] = f"{draw(9)}\n{passage}"
+        elif n % 20 == 2:
+            docs[i] = f"{docs[i]} {item[n % 4]} {draw(6)}"
+        elif n % 20 == 3:
+            w = item[n % 4].split()
+            w[3], w[9] = "new1", "new2"
+            docs[i] = f"{draw(30)} {' '.join(w)} {draw(30)}"
+    clean = [i for i in range(400) if i not in toxic]
+    for n, i in enumerate(clean[-60:]):  # near copies of one text, and one of its copies whole
+        w = docs[clean[5]].split()
+        w[n % 5] = f"x{n}"
+        docs[i] = " ".join(w)
+    docs[clean[-1]] = docs[clean[6]] = draw(70)
+    d = spark.createDataFrame(spark.sparkContext.parallelize([(i, docs[i], "en", "s", len(docs[i])) for i in rng.permutation(400).tolist()], 7), "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(item)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, kept = d, {}
+    for name, stage in corpus_pipeline.STAGES:
+        seen = stage(spark, seen, str(tmp_path))
+        assert name == "packing" or seen.columns == d.columns
+        kept[name] = {r.doc_id: r for r in seen.collect()}
+        seen = spark.createDataFrame(list(kept[name].values()), seen.schema)
+    assert set(kept["toxicity"]) == set(clean)
+    lines = {i: t for i, t in brute_lines([(i, docs[i]) for i in clean]).items() if t is not None}
+    assert {i: r.text for i, r in kept["line_dedup"].items()} == lines and len(lines) < len(clean)
+    assert set(kept["near_duplicates"]) == brute_groups(lines) and len(kept["near_duplicates"]) < len(lines) - 40
+    left = {i for i in kept["near_duplicates"] if not any(brute_leak(x.split(), lines[i].split()) for x in item)}
+    assert set(kept["decontamination"]) == left and len(left) < len(kept["near_duplicates"])
+    assert {i: r.n_tokens for i, r in kept["packing"].items()} == {i: len(lines[i].split()) + 1 for i in left}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left
+
+
+def test_pipeline_stages_take_awkward_and_empty_tables(spark, awkward, empty, side, tmp_path):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = docs.count()
+    side[0].write.parquet(f"{tmp_path}/labels.parquet")
+    side[1].write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {"toxicity": {1, 2, 3, 4, None, 5, 6, 7}, "line_dedup": {1, 2, 3, 4, None, 5, 6, 7}, "near_duplicates": {1, 2, 3, None, 5, 6, 7}, "decontamination": {2, 3, None, 5, 6, 7}, "packing": {1, 2, 3, 4, None, 5, 6, 7}}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        assert name == "packing" or out.columns == docs.columns
-        n = out.count()
-        assert 0 < n <= seen and (name not in ("line_dedup", "packing") or n == seen)
-        docs, seen = out, n
+        out = stage(spark, awkward, str(tmp_path))
+        if name != "toxicity":  # two labelled texts that are equal say nothing
+            assert {r.doc_id for r in out.select("doc_id").collect()} == left[name]
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        assert name == "packing" or out.columns == awkward.columns
