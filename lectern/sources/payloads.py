@@ -90,16 +90,16 @@ def crossref_papers(payloads: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-def synthetic_papers(spark: SparkSession, n: int, source: str, value: str, topic: str = "") -> DataFrame:
+def synthetic_papers(spark: SparkSession, n: int, source: str, value: str, topic: str = "", author: str = "Research Group") -> DataFrame:
     """``n`` made-up papers that are the same at every call."""
-    name = topic or value or "ScholarAgent"
+    name = topic or value or "Research"
     i = F.col("id")
     stable = F.left(F.sha1(F.concat_ws(":", F.lit(source), F.lit(value), i.cast("string"))), F.lit(8))
     own = F.when(i == 0, F.lit(value)).otherwise(F.concat(F.lit(f"{value}-"), i.cast("string")))
     text = f"This paper discusses {name} with emphasis on reproducible pipelines, evaluation, and source-grounded academic writing. Ref "
     return spark.range(n).select(
         paper_id(F.lit(source), own).alias("paper_id"), F.lit(source).alias("source"), F.concat(F.lit(f"{name} Study "), (i + 1).cast("string")).alias("title"),
-        F.array(F.lit("ScholarAgent Research Group")).alias("authors"), F.concat(F.lit(text), stable, F.lit(".")).alias("abstract"), F.format_string("202%d-01-01", i % 6).alias("published_at"),
+        F.array(F.lit(author)).alias("authors"), F.concat(F.lit(text), stable, F.lit(".")).alias("abstract"), F.format_string("202%d-01-01", i % 6).alias("published_at"),
         F.lit(value if source == "doi" else None).cast("string").alias("doi"), F.lit(value if source == "arxiv" else None).cast("string").alias("arxiv_id"), F.lit(None).cast("string").alias("url"), stable.alias("stable_hash"),
     )
 

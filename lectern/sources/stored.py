@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Signs of a page that asks for a login.
 LOGIN_MARKERS = ("登录", "login", "captcha", "验证码", "无权", "购买")
+# The first bytes of files of two formats.
+PDF, CAJ = "%PDF-", ("CAJViewer", "CAJ\0", "HZKJ")
 
 
 def keyed_json(spark: SparkSession, path: str, record: str) -> DataFrame:
@@ -30,8 +32,10 @@ def document_kind(content: Column, content_type: Column | None = None) -> Column
     login = F.lit(False)
     for marker in LOGIN_MARKERS:
         login = login | text.contains(marker)
-    caj = start.startswith("CAJViewer") | start.startswith("CAJ\0") | start.startswith("HZKJ")
-    return F.when(content.isNull(), "unknown").when(start.startswith("%PDF-"), "pdf").when(caj & ~page, "caj").when(html & login, "login").when(html, "page").otherwise("unknown")
+    caj = F.lit(False)
+    for sign in CAJ:
+        caj = caj | start.startswith(sign)
+    return F.when(content.isNull(), "unknown").when(start.startswith(PDF), "pdf").when(caj & ~page, "caj").when(html & login, "login").when(html, "page").otherwise("unknown")
 
 
 def text_of_positions(positions: Column) -> Column:

@@ -472,3 +472,50 @@ def test_manifests_and_legacy_files(spark, tmp_path):
     assert "enabled: false" in text and 'description: "d \\"q\\""' in text
     P.write_candidates(spark.createDataFrame([("t/1", text)], "tenant_id string, manifest string"), f"file://{tmp_path}/out")
     assert spark.read.text(f"file://{tmp_path}/out").select("tenant_id").distinct().first()[0] == "t_1"
+
+
+# --- records and surveys ---------------------------------------------------------------------------------------------------
+
+
+def test_records(spark):
+    from lectern.operators import records as R
+
+    d = spark.createDataFrame([(1, '{"a": 1}', None), (2, "no", "x"), (3, None, "")], "k int, j string, t string")
+    out = {r.k: r for r in R.decoded_rows(d, {"j": "a int"}, ["t"]).collect()}
+    assert out[1].j.a == 1 and out[2].j is None and out[3].t == "" and one(spark, R.decoded(F.col("a"), "map<string,int>", F.create_map(F.lit("d"), F.lit(0))), "") == {"d": 0}
+    m = lambda **kw: F.create_map(*[F.lit(x) for kv in kw.items() for x in kv])
+    assert one(spark, R.overlaid(m(a="1", b="2"), m(b="3", c="4"))) == {"a": "1", "b": "3", "c": "4"}
+    assert one(spark, R.only(m(a="1", b="2"), ["b", "z"])) == {"b": "2"} and one(spark, R.pruned(m(a="[]", b='""', c="0"))) == {"c": "0"}
+    assert one(spark, R.navigated(F.col("a"), "$.x.y", "none"), '{"x": {}}') == "none" and one(spark, R.encoded(F.lit(None).cast("struct<a:int>"))) == "{}"
+    assert R.with_prefix(d.withColumn("t", F.lit("a_b")), "t", "a_").count() == 3 and R.with_prefix(d.withColumn("t", F.lit("axb")), "t", "a_").count() == 0
+    assert R.single(d.where("k = 9")) is None and R.single(d.where("k = 1"))["k"] == 1
+    log = spark.createDataFrame([("r", None, 0, "running"), ("r", None, 2, "done"), ("c", "r", 1, "failed")], "run_id string, parent_run_id string, event_id int, status string")
+    assert {(r.run_id, r.status, r.depth) for r in R.runs(log).collect()} == {("r", "done", 0), ("c", "failed", 1)}
+    assert [tuple(r) for r in R.children(R.runs(log)).collect()] == [("r", "c", "failed")]
+    assert [e.status for e in R.events_in_order(log, ["run_id"], "event_id", ["status"]).where("run_id = 'r'").first().events] == ["running", "done"]
+    assert R.last_matching(log, ["run_id"], "event_id", F.col("status") == "running", ["status"]).count() == 1
+    assert tuple(R.tally(log, failed=F.col("status") == "failed", none=F.col("parent_run_id") == "r").first()) == (3, 1, 1)
+    assert one(spark, R.latency_ms(now(), now() + F.expr("INTERVAL 1500 MILLISECONDS"))) == 1500
+    tasks = spark.createDataFrame([("t", "completed", json.dumps({"citation_audit": {"is_valid": True, "coverage": 0.5, "hallucinated_ids": ["x"]}, "papers": [{"paper_id": "p", "title": "T"}], "reflections": [{"section_id": "s", "score": 90}]})), ("u", "failed", None)], "task_id string, status string, result_json string")
+    papers, audit, reviews = R.artifacts(tasks)
+    assert {tuple(r) for r in audit.collect()} == {("t", "completed", True, 0.5, 1), ("u", "failed", False, 0.0, 0)} and papers.count() == 1 == reviews.count()
+    t, u = R.demo_accounts(spark, [("t", "T")], [("u", "t", "ann", "x")])
+    assert scope.logins(u, t).count() == 1 and "password" not in u.columns
+
+
+def test_survey_from_papers_to_report(spark):
+    from lectern.plans import survey
+
+    topics = spark.createDataFrame([(1, "clouds"), (2, "nothing")], "topic_id int, topic string")
+    papers = spark.createDataFrame([(1, i, f"paper:x:{i % 4}", f"Title {i}", "a" * 9000, ["A"], "arxiv", "2024-01-01") for i in range(6)], "topic_id int, position int, paper_id string, title string, abstract string, authors array<string>, source string, published_at string")
+    out = {r.topic_id: r for r in survey.surveys(topics, papers).collect()}
+    assert out[1].is_valid and out[1].passed and "# Survey on clouds" in out[1].markdown and '1. A, "Title 4," arxiv, 2024.' in out[1].markdown and not out[2].passed
+    attempts = []
+
+    def write(todo, outline, attempt):
+        attempts.append(attempt)
+        d = survey.drafts(todo, outline)
+        return d if attempt else d.withColumn("content", F.lit("bad [paper:unknown]"))
+
+    assert {r.topic_id: r.passed for r in survey.surveys(topics, papers, write).collect()} == {1: True, 2: False} and attempts == [0, 1]
+    assert survey.progress(topics).where("event = 'completed'").count() == 2
