@@ -252,7 +252,7 @@ def convert_pages(pages: DataFrame, id_col: str = "page_id", version: int = 1, m
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     # stored, since each archive is packed from what a task happens to read, and its ids are made from it
-    records = written(arc_records(pages_to_arc(pages, id_col, version)), "arc")
+    records = written(arc_records(pages_to_arc(pages, id_col, version)), "arc", "zstd")
     write_warc(records, path, min_bytes)
     return read_warc_rows(spark, path).where("record_type <> 'warcinfo'")
 
