@@ -40,6 +40,8 @@ SIGNS, LETTERS = b"013457@$!", b"oieastasi"
 #: Entries of the learned lexicon, the folds that its weights are crossed over, and the bytes of word beginnings.
 LEXICON_SIZE, FOLDS, BEGINNINGS = 50_000, 4, (4, 5, 6)
 LEAST_DOCS, LEAST_TIMES = 3, 4.0
+#: Bytes of text that are taken at once.
+PIECE = 1_000_000
 FEATURES = (
     "fixed", "learned", "learned_sum", "learned_max", "begun", "begun_sum", "begun_max", "near", "second", "capitals", "shouted", "punctuation", "bursts",
     "obfuscated", "digits", "words", "word_length",
@@ -197,7 +199,7 @@ class LearnedLexicon:
         names = [f"{k}{i}" for k in ("t", "c") for i in range(FOLDS)]
 
         def count(batches):
-            for b in (x for batch in batches for x in B.pieces(batch, "text")):
+            for b in (x for batch in batches for x in B.pieces(batch, "text", PIECE)):
                 m = Marks(b["text"])
                 slot = np.where(b["label"].to_numpy(zero_copy_only=False) > 0, 0, FOLDS) + b["part"].to_numpy(zero_copy_only=False)
                 h, of = np.concatenate([m.hash, *(m.beginnings(s) for s in BEGINNINGS)]), np.tile(m.of, 1 + len(BEGINNINGS))
@@ -236,7 +238,7 @@ def featured(rows: DataFrame, lexicon: LearnedLexicon, keep: str) -> DataFrame:
     names = [x.split()[0] for x in keep.split(", ")]
 
     def make(batches):
-        for b in (x for batch in batches for x in B.pieces(batch, "text")):
+        for b in (x for batch in batches for x in B.pieces(batch, "text", PIECE)):
             m = Marks(b["text"])
             out = features_of(m, keys, crossed, b["part"].to_numpy(zero_copy_only=False)) if "part" in names else features_of(m, keys, whole)
             yield pa.record_batch({k: b[k] for k in names} | {k: out[k] for k in FEATURES})
