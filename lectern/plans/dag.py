@@ -39,18 +39,21 @@ def waves(nodes: DataFrame, node: str = "node_id", depends_on: str = "depends_on
 
     Each round settles one wave by a join, so the rounds are the graph's depth. Cycles and unknown nodes are a ValueError.
     """
+    nodes = stored(nodes, "nodes")
     edges = stored(nodes.select(node, F.explode(F.array_distinct(depends_on)).alias("__dep")), "edges")
-    pending, done, wave = stored(nodes, "nodes"), None, 0
+    left, done, wave = nodes, None, 0
     while True:
         open_ = edges if done is None else edges.join(done.select(F.col(node).alias("__dep")), "__dep", "left_anti")
-        ready = stored(pending.join(open_.select(node).distinct(), node, "left_anti").withColumn("wave", F.lit(wave)), "wave")
+        ready = stored(left.join(open_.select(node).distinct(), node, "left_anti").withColumn("wave", F.lit(wave)), "wave")
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
-        pending = stored(pending.join(ready.select(node), node, "left_anti"), "nodes")
+        if wave % 10 == 9:  # else the plan grows with the waves
+            done = stored(done, "waves")
+        left = nodes.join(done.select(node), node, "left_anti")
         wave += 1
-    if not pending.isEmpty():
-        names = [str(r[0]) for r in pending.select(node).orderBy(node).limit(20).collect()]
+    names = [str(r[0]) for r in left.select(node).orderBy(node).limit(20).collect()]
+    if names:
         raise ValueError(f"tasks in a cycle or with an unknown dependency: {', '.join(names)}")
     return nodes.withColumn("wave", F.lit(0)) if done is None else done
 
