@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -89,8 +89,7 @@ def scoped_customers(spark, sf: str) -> DataFrame:
 
 
 def state_versions(spark, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return _t(spark, sf, "events").select("event_id", "user_id", F.row_number().over(w).cast("long").alias("state_version"))
+    return R.numbered(_t(spark, sf, "events").select("event_id", "user_id"), ["user_id"], "event_id", "state_version", width=1000)
 
 
 def page_links(spark, sf: str) -> DataFrame:

@@ -34,11 +34,26 @@ def replace_all(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
     return base.join(delta.select(*key).distinct(), key, "left_anti").unionByName(delta)
 
 
+def numbered(df: DataFrame, key: list[str], order: str, out: str, width: int = 100_000, total: str | None = None) -> DataFrame:
+    """Adds ``out``: 1, 2, 3 … of each key in the order of a whole-number column, and the key's rows as ``total``.
+
+    Rows are numbered inside ranges of ``width``, and the ranges' counts give each its first number, so a key with very
+    many rows is spread over tasks. Keys and order are not null.
+    """
+    d = df.withColumn("__range", F.floor(F.col(order) / F.lit(width)))
+    n = d.groupBy(*key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*key)
+    n = n.withColumn("__before", F.sum("__n").over(w.orderBy("__range")) - F.col("__n")).withColumn("__all", F.sum("__n").over(w)).drop("__n")
+    d = d.withColumn("__i", F.row_number().over(Window.partitionBy(*key, "__range").orderBy(order))).join(n, [*key, "__range"])
+    d = d.withColumn(out, (F.col("__before") + F.col("__i")).cast("long"))
+    return d.select(*df.columns, out, *([F.col("__all").alias(total)] if total else []))
+
+
 def head_and_tail(df: DataFrame, key: list[str], order: str, head: int, tail: int) -> DataFrame:
     """Adds ``part``: head, middle or tail of each key's sequence."""
-    up = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).asc()))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    return df.withColumn("__i", up).withColumn("part", F.when(F.col("__i") <= head, "head").when(F.col("__i") > n - tail, "tail").otherwise("middle")).drop("__i")
+    d = numbered(df, key, order, "__at", total="__rows")
+    part = F.when(F.col("__at") <= head, "head").when(F.col("__at") > F.col("__rows") - tail, "tail").otherwise("middle")
+    return d.select(*df.columns, part.alias("part"))
 
 
 def citation_audit(citations: DataFrame, pool: DataFrame, key: str = "ref") -> DataFrame:
