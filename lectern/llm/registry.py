@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .jaccard_join import OP8_SQL, op8_jaccard_join
 from .kd_sharding import op2_kd_sharding
 from .line_dedup import OP7_SQL, op7_line_dedup
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .packing import op10_packing
 from .ppm import op4_ppm_scores
 from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .token_counts import op12_token_counts
 from .topk import OP5_SQL, op5_ball_tree_topk
 from .toxicity import op3_toxicity
 from .warc import OP6_SQL, op6_warc
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_token_counts": op12_token_counts,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -32,4 +38,6 @@ ORACLE_SQL = {
     "op6_warc": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
