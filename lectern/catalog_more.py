@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import chunks as C
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import citations, collections, keyed, memory, relational, retrieval, scope
+from lectern.operators import batches, citations, collections, keyed, memory, relational, retrieval, scope
 from lectern.plans import context, dag, routing
 from lectern.scratch import scratch_path, stored
 from lectern.streaming import state
@@ -136,7 +136,7 @@ def merged_events(spark, sf: str) -> DataFrame:
 
 def literature_batches(spark, sf: str) -> DataFrame:
     d = _t(spark, sf, "documents").withColumn("lang", F.coalesce("lang", F.lit("")))
-    b = collections.batched(d, ["source", "lang"], "doc_id", "doc_id", T.token_estimate(F.col("text")))
+    b = batches.batched(d, ["source", "lang"], "doc_id", "doc_id", T.token_estimate(F.col("text")))
     return b.select("source", "lang", F.col("batch").cast("long").alias("batch"), F.array_join("ids", ",").alias("ids"))
 
 

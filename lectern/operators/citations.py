@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-from difflib import get_close_matches
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from lectern.functions.text import cited
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def close_matches(word: pd.Series, pool: pd.Series) -> pd.Series:
-    """The three names of ``pool`` most like ``word`` by matching blocks (ratio 0.6 or more), best first.
-
-    Edit distance isn't the same measure, so this stays a batched function.
-    """
-    return pd.Series([get_close_matches(w, list(p), n=3) for w, p in zip(word, pool)])
+from lectern.operators.fuzzy import close_names
 
 
 def verified(texts: DataFrame, pool: DataFrame) -> DataFrame:
@@ -44,11 +32,9 @@ def verified(texts: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def suggestions(audit: DataFrame, pool: DataFrame) -> DataFrame:
-    """(doc, ref, suggested) for each distinct unknown id of an audit: the closest ids of the text's pool."""
+    """(doc, ref, suggested) for each distinct unknown id of an audit: the closest ids of the text's own pool, three at most."""
     bad = audit.select("doc", F.explode(F.array_distinct("hallucinated_ids")).alias("ref"))
-    near = pool.where("ref is not null").groupBy("doc").agg(F.sort_array(F.collect_set("ref")).alias("__pool"))
-    d = bad.join(near, "doc", "left").withColumn("__pool", F.coalesce("__pool", F.array().cast("array<string>")))
-    return d.select("doc", "ref", close_matches("ref", "__pool").alias("suggested"))
+    return close_names(bad, pool).select("doc", "ref", "suggested")
 
 
 def cited_papers(texts: DataFrame, papers: DataFrame, key: str = "paper_id") -> DataFrame:

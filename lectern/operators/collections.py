@@ -1,4 +1,4 @@
-"""Ordered sets and unions: sources by priority, merged events, recent references, greedy batches, chosen places."""
+"""Ordered sets and unions: sources by priority, merged events, recent references, chosen places."""
 
 from __future__ import annotations
 
@@ -66,30 +66,6 @@ def recent_distinct(df: DataFrame, group: list[str], key: str, order: str, keep:
     return d.withColumn("__n", n).where(F.col("__n") <= keep).drop("__n")
 
 
-def greedy_batches(items: Column, budget: int = 4000) -> Column:
-    """Batches of ids from an array of (id, tokens) in order: a new batch where the next item would go over the budget.
-
-    An item over the budget is a batch of its own. The fold depends on where the batch before ended, so no window can say it.
-    """
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).cast("long").alias("used"))
-
-    def add(s: Column, x: Column) -> Column:
-        full = (F.size(s["now"]) > 0) & (s["used"] + x["tokens"] > budget)
-        name = F.array(x["id"].cast("string"))
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"), F.when(full, name).otherwise(F.concat(s["now"], name)).alias("now"),
-            F.when(full, x["tokens"].cast("long")).otherwise(s["used"] + x["tokens"]).cast("long").alias("used"),
-        )
-
-    return F.aggregate(items, start, add, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
-
-
-def batched(df: DataFrame, group: list[str], order: str, key: str, tokens: Column, budget: int = 4000) -> DataFrame:
-    """(*group, batch, ids): greedy batches of each group. A group's ids and counts, not its texts, are one array."""
-    d = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, F.col(key).alias("id"), tokens.cast("long").alias("tokens")))).alias("items"))
-    return d.select(*group, F.posexplode(greedy_batches(F.col("items"), budget)).alias("batch", "ids"))
-
-
 def chosen_places(text: Column, bare: bool = True) -> Column:
     """Places named in a text, 1 to 50, ascending, five at most: digits (``bare``: any, else before a measure word), and
     numerals up to ten before a measure word."""

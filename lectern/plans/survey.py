@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import citation, token_estimate
 from lectern.operators import citations as C
-from lectern.operators.collections import batched
+from lectern.operators.batches import batched
 from lectern.scratch import stored
 
 #: Phases in order, with the percentage at which each is reported.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import chunks as C
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import citations, collections, keyed, memory, retrieval, scope
+from lectern.operators import batches, citations, collections, keyed, memory, retrieval, scope
 from lectern.plans import context, dag, knowledge, routing, tools
 from lectern.scratch import read_version, write_version
 from lectern.sources import payloads as P
@@ -177,7 +177,7 @@ def test_unions_in_order(spark):
 
 def test_batches_and_places(spark):
     d = spark.createDataFrame([("g", i, n) for i, n in enumerate([3000, 900, 200, 5000, 10])], "g string, i int, n long")
-    assert [r.ids for r in collections.batched(d, ["g"], "i", "i", F.col("n")).orderBy("batch").collect()] == [["0", "1"], ["2"], ["3"], ["4"]]
+    assert [r.ids for r in batches.batched(d, ["g"], "i", "i", F.col("n")).orderBy("batch").collect()] == [["0", "1"], ["2"], ["3"], ["4"]]
     assert one(spark, collections.chosen_places(F.col("a")), "下载第 三 篇和 2, 99") == [2, 3]
     assert one(spark, collections.chosen_places(F.col("a"), bare=False), "要3篇，还有十条") == [3, 10]
     picks = spark.createDataFrame([("c", [1, 5])], "c string, places array<int>")
