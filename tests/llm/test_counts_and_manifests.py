@@ -83,7 +83,7 @@ def tree(nodes):
             paths[i].append((level[a:at[i]], level[at[i] + 1:a + 8]))
             at[i] //= 8
         level = [H(*level[i:i + 8]) for i in range(0, len(level), 8)]
-    return level[0], paths
+    return level[0] if level else None, paths
 
 
 def manifest(rows):
