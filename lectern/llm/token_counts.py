@@ -67,17 +67,19 @@ class WordCounts:
     def of_texts(self, texts: pa.Array) -> np.ndarray:
         w = Words(texts)
         keys, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        known = np.isin(keys, self.keys)
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inner = place < len(self.keys)
+        known[inner] = self.keys[place[inner]] == keys[inner]
         counts = np.zeros(len(keys), np.int64)
-        counts[known] = self.counts[np.searchsorted(self.keys, keys[known])]
+        counts[known] = self.counts[place[known]]
         new = at[~known]
-        counts[~known] = self._encoded([bytes(w.raw[a:b]).decode() for a, b in zip(w.starts[new], w.ends[new])])
-        if len(self.keys) + len(new) > KNOWN_WORDS:
-            self.keys, self.counts = keys[:KNOWN_WORDS], counts[:KNOWN_WORDS]
-        else:
-            both = np.concatenate([self.keys, keys[~known]])
-            order = np.argsort(both)
-            self.keys, self.counts = both[order], np.concatenate([self.counts, counts[~known]])[order]
+        if len(new):
+            counts[~known] = self._encoded([bytes(w.raw[a:b]).decode() for a, b in zip(w.starts[new], w.ends[new])])
+            if len(self.keys) + len(new) > KNOWN_WORDS:
+                self.keys, self.counts = keys[:KNOWN_WORDS], counts[:KNOWN_WORDS]
+            else:
+                self.keys, self.counts = np.insert(self.keys, place[~known], keys[~known]), np.insert(self.counts, place[~known], counts[~known])
         total = np.concatenate([[0], np.cumsum(counts[back])])
         return total[w.first[1:]] - total[w.first[:-1]]
 
