@@ -11,7 +11,7 @@ from lectern.functions import vectors as V
 from lectern.operators import batches, citations, collections, keyed, memory, relational, retrieval, scope
 from lectern.plans import context, dag, routing
 from lectern.scratch import scratch_path, stored
-from lectern.streaming import state
+from lectern.streaming import conversations, state
 
 NOW = "2026-01-01 00:00:00"
 QUERY = ["the", "hation", "erblend", "thereon"]
@@ -253,8 +253,8 @@ def conversation_phases(spark, sf: str) -> DataFrame:
     e = _t(spark, sf, "events")
     tool = F.when(F.col("event_type") == "purchase", "acquire_paper_to_knowledge").otherwise("search_papers")
     event = F.to_json(F.struct(F.when(F.col("event_type") == "view", "user").otherwise("tool").alias("kind"), tool.alias("tool_name"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"), F.lit("goal").alias("content")))
-    d = state.conversation_states(e.select("user_id", "event_id", event.alias("event")), ["user_id"], ["event_id"])
-    return d.select("event_id", "user_id", "state_version", F.get_json_object("state", "$.phase").alias("phase"), F.get_json_object("state", "$.last_successful_tool").alias("last_tool"))
+    d = conversations.conversation_states(e.select("user_id", "event_id", event.alias("event")), ["user_id"], ["event_id"])
+    return d.select("event_id", "user_id", "state_version", "phase", "last_tool")
 
 
 def cache_hits(spark, sf: str) -> DataFrame:

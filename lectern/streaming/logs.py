@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def rate_limited(log: DataFrame, key: str, seconds: Column, order: list[str], limit: int = 20, window: float = 3600.0) -> DataFrame:
@@ -21,12 +21,12 @@ def rate_limited(log: DataFrame, key: str, seconds: Column, order: list[str], li
     names = log.columns
     d = log.withColumn("__at", seconds.cast("double")).repartition(F.col(key)).sortWithinPartitions(key, "__at", *order)
 
-    def admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, kept = None, deque()
         for b in batches:
             out = []
-            for k, at in zip(b[key].tolist(), b["__at"].tolist()):
-                if pd.isna(k) or pd.isna(at):
+            for k, at in zip(b[key].to_pylist(), b["__at"].to_pylist()):
+                if k is None or at is None or at != at:
                     out.append(False)
                     continue
                 if k != current:
@@ -36,10 +36,9 @@ def rate_limited(log: DataFrame, key: str, seconds: Column, order: list[str], li
                 out.append(len(kept) < limit)
                 if out[-1]:
                     kept.append(at)
-            yield b[names].assign(allowed=out)
+            yield pa.record_batch({**{c: b[c] for c in names}, "allowed": pa.array(out, pa.bool_())})
 
-    schema = log.schema.add("allowed", "boolean")
-    return d.mapInPandas(admit, schema)
+    return d.mapInArrow(admit, StructType([*log.schema, StructField("allowed", BooleanType())]))
 
 
 def hourly(events: DataFrame, time: str, *keys: str, late: str = "2 hours") -> DataFrame:

@@ -1,4 +1,4 @@
-"""State that follows from the rows before: folds over ordered logs, conversation state, caches, queues, sessions.
+"""State that follows from the rows before: folds over ordered logs, caches, queues, sessions, usage.
 
 Where a row's answer depends on earlier answers, no window frame can say it. ``folded`` deals rows by key, sorts them
 inside tasks, and passes them through in Arrow batches; a task holds one key's state and one batch, never a whole key.
@@ -7,122 +7,37 @@ A key's rows go through one task, as its order asks; other states here are aggre
 
 from __future__ import annotations
 
-import json
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def folded(log: DataFrame, key: list[str], order: list[str], inputs: list[str], start: Callable[[], object], step: Callable, out: str) -> DataFrame:
-    """``log`` with the columns ``out`` (a schema): ``step(state, *inputs)`` gives the next state and a row of ``out``."""
-    names, new = log.columns, [x.split()[0] for x in out.split(", ")]
+    """``log`` with the columns ``out`` (a schema): ``step(state, *inputs)`` gives the next state and a row of ``out``.
+
+    The columns of ``log`` go through as they are; a null key is a key like any other.
+    """
+    names, added = log.columns, StructType.fromDDL(out)
+    kinds = to_arrow_schema(added)
     d = log.repartition(*key).sortWithinPartitions(*key, *order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), None
         for b in batches:
             rows = []
-            for k, *x in zip(b[key].itertuples(index=False, name=None), *[b[c].tolist() for c in inputs]):
+            for k, *x in zip(zip(*(b[c].to_pylist() for c in key)), *(b[c].to_pylist() for c in inputs)):
                 if k != current:
                     current, state = k, start()
                 state, row = step(state, *x)
                 rows.append(row)
-            yield b[names].assign(**{c: [r[i] for r in rows] for i, c in enumerate(new)})
-
-    schema = log.schema
-    for x in out.split(", "):
-        schema = schema.add(*x.split(maxsplit=1))
-    return d.mapInPandas(run, schema)
-
-
-# --- conversations ---------------------------------------------------------------------------------------------------
-
-# How a new conversation stands, and which tools mean what.
-NEW = {
-    "state_version": 0, "current_goal": "", "active_domain": "general", "active_source": "", "phase": "idle", "pending_action": None, "last_route": None,
-    "last_successful_tool": "", "last_search_query": "", "last_error": "", "artifacts": [], "recent_results": [],
-}
-SEARCHES = {"search_cnki_papers": "cnki", "search_papers": None}
-DOWNLOADS = ("download_cnki_selections", "download_institution_url", "acquire_paper_to_knowledge")
-LOGINS = ("start_institution_login", "confirm_institution_browser_login")
-DONE = ("succeeded", "failed", "cancelled")
-RESULTS, ARTIFACTS = 20, 30
-
-
-def _refs(result: dict) -> list[dict]:
-    keep = lambda x, *more: {k: x[k] for k in ("paper_id", "title", "source", *more, "doi") if x.get(k) is not None}
-    items = [keep(x, "year") for x in (result.get("items") or [])[:RESULTS] if isinstance(x, dict)]
-    paper = result.get("paper")
-    return items + ([keep(paper)] if isinstance(paper, dict) and paper else [])
-
-
-def next_state(state: dict, event: dict) -> dict:
-    """The state after a user's message, a route, a tool's report, or a cleared confirmation."""
-    s, kind = dict(state), event.get("kind")
-    s["state_version"] = int(s.get("state_version") or 0) + 1
-    if kind == "user":
-        s |= {"current_goal": str(event.get("content") or "").strip()[:1000], "phase": "planning", "last_error": ""}
-    elif kind == "route":
-        s["last_route"] = {k: event.get(k) for k in ("intent", "target", "execution_mode", "reasons")} | {"confidence": round(min(max(float(event.get("confidence") or 0), 0.0), 1.0), 3), "planned_steps": event.get("planned_steps") or []}
-    elif kind == "clear":
-        s |= {"pending_action": None, "phase": "idle"}
-    elif kind == "tool":
-        tool, status, arguments, result = event.get("tool_name"), event.get("status"), event.get("arguments") or {}, event.get("result") or {}
-        won = status == "succeeded"
-        if tool in SEARCHES:
-            s |= {"active_domain": "literature", "active_source": SEARCHES[tool] or str(arguments.get("source") or "all"), "last_search_query": str(arguments.get("query") or "")[:500]}
-            s["phase"] = "selection_ready" if won else "search_failed"
-        elif tool in DOWNLOADS:
-            s["phase"] = "awaiting_confirmation" if status == "awaiting_confirmation" else "completed" if won else "download_failed"
-        elif tool in LOGINS:
-            s |= {"active_domain": "institutional_access", "active_source": "cnki", "phase": "completed" if won else "authentication_required"}
-        call = event.get("call_id") or ""
-        if status == "awaiting_confirmation":
-            s["pending_action"] = {"call_id": call, "tool_name": tool, "arguments": {k: v for k, v in arguments.items() if k not in ("tenant_id", "user_id", "confirmation_token")}}
-        elif status in DONE or (s.get("pending_action") or {}).get("call_id") == call:
-            s["pending_action"] = None
-        if won:
-            refs = _refs(result)
-            named = {r["paper_id"]: r for r in refs if r.get("paper_id")}
-            s |= {"last_successful_tool": tool, "last_error": "", "recent_results": refs}
-            s["artifacts"] = ([a for a in s.get("artifacts") or [] if a.get("paper_id") not in named] + list(named.values()))[-ARTIFACTS:]
-        elif status == "failed":
-            s["last_error"] = str(event.get("error") or result.get("error") or "")[:1000]
-    return s
-
-
-def conversation_states(events: DataFrame, key: list[str], order: list[str], event: str = "event") -> DataFrame:
-    """``events`` (JSON of one event each) with the ``state`` after each, as JSON, and its version; what is no JSON changes the version alone."""
-    def step(state: dict, text):
-        try:
-            e = json.loads(text)
-        except (TypeError, ValueError):
-            e = {}
-        state = next_state(state, e if isinstance(e, dict) else {})
-        return state, (json.dumps(state, ensure_ascii=False), state["state_version"])
-
-    return folded(events, key, order, [event], lambda: dict(NEW), step, "state string, state_version long")
-
-
-def conversation_stream(events: DataFrame, key: str = "conversation_id", event: str = "event") -> DataFrame:
-    """The newest state of each conversation of a stream, kept by Spark between batches; rows of a batch in order of ``at``."""
-    def update(k: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else dict(NEW)
-        for text in pd.concat(list(batches)).sort_values("at")[event]:
-            try:
-                e = json.loads(text)
-            except (TypeError, ValueError):
-                e = {}
-            state = next_state(state, e if isinstance(e, dict) else {})
-        text = json.dumps(state, ensure_ascii=False)
-        held.update((text,))
-        yield pd.DataFrame({key: [k[0]], "state": [text], "state_version": [state["state_version"]]})
-
-    kind = dict(events.dtypes)[key]
-    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, state string, state_version long", "state string", "update", "NoTimeout")
+            yield pa.record_batch({**{c: b[c] for c in names}, **{f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)}})
+
+    return d.mapInArrow(run, StructType([*log.schema, *added]))
 
 
 def calls(log: DataFrame, key: list[str], order: str) -> DataFrame:
