@@ -347,6 +347,34 @@ def test_leaks_of_any_length_are_found_where_the_fit_is_a_sample(spark):
         assert i in want and want <= got[k]
 
 
+def planted_passages(rng, items):
+    """(item, words) of documents with an item verbatim, with a fifth of it replaced, or spread over up to three times its length."""
+    word = lambda: f"w{rng.integers(1500)}"
+    for i, item in items.items():
+        for kind in ("verbatim", "fifth", "wide"):
+            x = [f"new{rng.integers(10 ** 9)}" if kind == "fifth" and j % 5 == 4 else w for j, w in enumerate(item)]
+            x = [y for w in x for y in (w, *[word() for _ in range(int(rng.integers(0, 4)) if kind == "wide" else 0)])]
+            at = int(rng.integers(0, 150))
+            filler = [word() for _ in range(int(rng.integers(160, 400)))]
+            yield kind, i, filler[:at] + x + filler[at:]
+
+
+def test_the_cosine_proposes_and_the_checks_decide(spark):
+    rng = np.random.default_rng(5)
+    items = {i: [f"w{x}" for x in rng.integers(0, 1500, n)] for i, n in enumerate([6, 9, 14, 20, 33, 47, 64, 90] * 3)}
+    planted = list(planted_passages(rng, items))
+    d = spark.createDataFrame([(k, " ".join(x)) for k, (_, _, x) in enumerate(planted)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    pairs = lambda **how: {(r.id, i) for r in decontaminate.benchmark_leaks(d, bench, fit_bytes=60_000, **how).collect() for i in r.item_ids}
+    got, every = pairs(), pairs(cosine=-2.0)
+    assert pairs(cosine=2.0) == set()
+    assert got <= every and len(got) >= 0.95 * len(every)
+    for kind in ("verbatim", "fifth", "wide"):
+        own = {(k, i) for k, (what, i, _) in enumerate(planted) if what == kind}
+        assert len(own & every) >= 0.9 * len(own) and len(own & got) >= 0.9 * len(own & every)
+    assert all((k, i) in got for k, (what, i, _) in enumerate(planted) if what == "verbatim")
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(5)
     for _ in range(20):
