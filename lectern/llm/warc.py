@@ -169,17 +169,19 @@ def arc_records(archives: DataFrame) -> DataFrame:
     """Rows of ``RECORD`` for all records of ARC files in ``archives.content``, plain or gzip; null contents have none.
 
     ``kind`` is info for a version block, http for a block that begins with an HTTP status line, else other; the payload,
-    of which digest and size are, is what follows the HTTP headers, or the whole block.
+    of which digest and size are, is what follows the HTTP headers, or the whole block. Ids are made from an archive's bytes
+    and row and the record's place, so archives of equal bytes have records of their own; store the rows before using them
+    twice, as rows have other numbers when they are dealt otherwise.
     """
 
     def parse(batches):
         for b in batches:
-            for content in b["content"].to_pylist():
+            for content, number in zip(b["content"].to_pylist(), b["number"].to_pylist()):
                 if not content:
                     continue
                 if content[:2] == b"\x1f\x8b":
                     content = gzip.decompress(content)
-                rows, archive = [], hashlib.sha1(content).hexdigest()
+                rows, archive = [], f"{hashlib.sha1(content).hexdigest()}/{number}"
                 for r in parse_arc(content):
                     block, kind = r["block"], "info" if r["URL"] is None else "http" if r["block"].startswith(b"HTTP/") else "other"
                     if kind == "info":
@@ -189,7 +191,7 @@ def arc_records(archives: DataFrame) -> DataFrame:
                     rows.append((record_id(archive, r["offset"]), kind, None if key is None else int(key), r["URL"], warc_date(r["Archive-date"]), _clean(r["Content-type"], "application/octet-stream"), base32_sha1(payload), len(payload), block))
                 yield _table(rows, RECORD, RECORD_TYPES)
 
-    return archives.select("content").mapInArrow(parse, RECORD)
+    return archives.select("content", F.monotonically_increasing_id().alias("number")).mapInArrow(parse, RECORD)
 
 
 def write_warc(records: DataFrame, path: str, min_bytes: int = 0) -> None:

@@ -286,6 +286,19 @@ def test_archives_of_images_and_dns_answers(spark, tmp_path, version):
     assert len({r.record_id for r in warc.read_warc_rows(spark, f"file://{tmp_path}/w").collect()}) == 5
 
 
+def test_equal_pages_and_equal_archives_have_records_of_their_own(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x")] * 3 + [(2, "u", "x"), (None, "u", "x")], "page_id long, url string, html string").repartition(5)
+    assert pages.rdd.getNumPartitions() == 5
+    out = warc.convert_pages(pages)
+    assert rows_of(out, "page_id", "record_type", "refers_to") == sorted([(1, "revisit", 2)] * 3 + [(2, "response", None), (None, "revisit", 2)], key=repr)
+    assert out.select("record_id").distinct().count() == 5
+    archive = warc.arc_preamble() + warc.arc_record(7, "http://a/", b"same") + warc.arc_record(None, "http://b/", b"same")
+    twice = warc.written(warc.arc_records(spark.createDataFrame([(bytearray(archive),)] * 2, "content binary").repartition(2)), "twice")
+    warc.write_warc(twice, f"file://{tmp_path}/w")
+    back = warc.read_warc_rows(spark, f"file://{tmp_path}/w").where("record_type <> 'warcinfo'")
+    assert rows_of(back, "page_id", "record_type") == sorted([(7, "response")] * 2 + [(None, "revisit")] * 2, key=repr) and back.select("record_id").distinct().count() == 4
+
+
 def test_leaks_are_found_and_clean_texts_left(spark):
     sf = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
