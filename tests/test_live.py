@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.streaming import conversations as C
-from lectern.streaming import expiry
+from lectern.streaming import expiry, queue
 from lectern.streaming.logs import rate_limited
 from lectern.streaming.state import cached_calls, folded
 
@@ -165,3 +165,81 @@ def test_folds_leave_other_columns_alone(spark):
     d = spark.createDataFrame([("a", 0.0, big), ("a", 1.0, None), (None, 2.0, 5), ("a", None, 6)], "k string, t double, v long")
     assert sorted((r.v, r.allowed) for r in rate_limited(d.where("v is not null"), "k", F.col("t"), ["v"], limit=1).collect()) == [(5, False), (6, False), (big, True)]
     assert [(r.v, r.allowed) for r in rate_limited(d.where("v is null"), "k", F.col("t"), ["v"]).collect()] == [(None, True)]
+
+
+def jobs(spark, *ids, at=0):
+    return spark.createDataFrame([(i, "t", "u", f"task-{i}", 0, datetime(2026, 1, 1) + timedelta(minutes=at)) for i in ids], queue.JOB)
+
+
+def test_a_job_between_reserve_and_acknowledgement_is_delivered_again(keyed, tmp_path):
+    queue.register(keyed)
+    path, seen = f"{tmp_path}/queue", []
+    names = lambda part: queue.Folder(path).names(part)
+    queue.enqueue(jobs(keyed, "a", "b").repartition(2), path)
+    assert len(names("jobs")) == 2 and names("aside") == []
+
+    def work(die):
+        def batch(b, n):
+            seen.extend((r.job_id, r.attempt, n) for r in b.collect())
+            if die:
+                raise RuntimeError("killed")
+
+        q = queue.delivered(keyed, path).writeStream.foreachBatch(batch).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except Exception as e:  # noqa: BLE001
+            assert die and "killed" in str(e)
+
+    work(die=True)
+    assert sorted(seen) == [("a", 0, 0), ("b", 0, 0)] and len(names("jobs")) == 2 and len(names("reserved")) == 1
+    queue.enqueue(jobs(keyed, "c"), path)
+    work(die=False)  # the batch that was killed, and then what came since
+    work(die=False)
+    assert sorted(seen[2:4]) == [("a", 0, 0), ("b", 0, 0)] and [(j, a) for j, a, _ in seen[4:]] == [("c", 0)]
+    queue.enqueue(jobs(keyed, "c", "d", at=1), path)  # c a second time
+    work(die=False)
+    assert [(j, a) for j, a, _ in seen[5:]] == [("d", 0)]
+    dead = queue.retried(jobs(keyed, "x").withColumn("attempt", F.lit(2)), path, F.current_timestamp())
+    assert [r.job_id for r in dead.collect()] == ["x"] and queue.retried(jobs(keyed, "e"), path, F.lit("2026-01-01 00:02:00").cast("timestamp")).count() == 0
+    work(die=False)
+    assert [(j, a) for j, a, _ in seen[6:]] == [("e", 1)]
+    work(die=False)
+    assert len(seen) == 7 and len(names("done")) + len(names("jobs")) == 6
+
+
+def test_frames_are_written_once(keyed, tmp_path):
+    queue.register(keyed)
+    src, out = f"file://{tmp_path}/in", f"{tmp_path}/out"
+    frames = lambda: sorted(t for _, t in queue.frames_since(out))
+
+    def go():
+        d = keyed.readStream.schema("event string, data string").json(src).coalesce(1)
+        d.writeStream.format("event_frames").option("path", out).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    keyed.createDataFrame([("progress", "1")], "event string, data string").write.json(src)
+    go()
+    assert frames() == ["event: progress\ndata: 1\n\n"]
+    (tmp_path / "checkpoint" / "commits" / "0").unlink()  # as if the driver had died before it noted the batch
+    (tmp_path / "checkpoint" / "commits" / ".0.crc").unlink(missing_ok=True)
+    go()
+    assert frames() == ["event: progress\ndata: 1\n\n"] and len(queue.Folder(out).names("frames")) == 1
+    keyed.createDataFrame([("completed", "2")], "event string, data string").write.mode("append").json(src)
+    go()
+    assert frames() == ["event: completed\ndata: 2\n\n", "event: progress\ndata: 1\n\n"] and [b for b, _ in queue.frames_since(out, 0)] == [1]
+
+
+def test_a_tail_replays_goes_on_and_stops(keyed, tmp_path):
+    src, schema, got = f"file://{tmp_path}/in", "task_id string, event_id long, event string, data string", []
+
+    def add(*rows):
+        keyed.createDataFrame([(t, i, e, f"d{i}") for t, i, e in rows], schema).write.mode("append").json(src)
+        q = queue.tailed(keyed.readStream.schema(schema).json(src), after=1)
+        q = q.writeStream.outputMode("append").foreachBatch(lambda b, n: got.extend((r.task_id, r.place, r.event) for r in b.orderBy("task_id", "place").collect())).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    add(("a", 1, "queued"), ("a", 3, "progress"), ("a", 2, "progress"), ("b", 4, "queued"))
+    assert got == [("a", 1, "progress"), ("a", 2, "progress")]
+    add(("a", 5, "completed"), ("a", 6, "late"), ("b", 7, "progress"))
+    assert got[2:] == [("a", 3, "completed"), ("b", 1, "progress")]
+    add(("a", 8, "progress"), ("b", 9, "failed"))
+    assert got[4:] == [("b", 2, "failed")]
