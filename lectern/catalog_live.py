@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import fuzzy
+from lectern.scratch import scratch_path
+from lectern.streaming import conversations, expiry, queue
+from lectern.streaming.logs import drained
 
 
 def _t(spark, sf: str, name: str) -> DataFrame:
@@ -22,6 +25,58 @@ def citation_suggestions(spark, sf: str) -> DataFrame:
     return d.select(F.col("doc").alias("conv_id"), F.col("ref").alias("word"), F.array_join("suggested", " ").alias("suggested"))
 
 
-QUERIES = {f.__name__: f for f in (citation_suggestions,)}
+def _turns(spark, sf: str) -> DataFrame:
+    """Conversations as a stream: what users say, and searches or downloads that their assistants make of it. The table's files come
+    in no order of turns, so all are one batch."""
+    path = f"{sf}/conversations.parquet"
+    d = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a stream takes a file by a pattern only
+    status = F.when(F.col("turn") % 4 == 3, "failed").otherwise("succeeded")
+    tool = F.when(F.length("text") % 2 == 0, "search_papers").otherwise("acquire_paper_to_knowledge")
+    event = F.struct(F.when(F.col("role") == "user", "user").otherwise("tool").alias("kind"), F.col("text").alias("content"), tool.alias("tool_name"), status.alias("status"), F.lit("bad").alias("error"), F.to_json(F.struct(F.col("text").alias("query"))).alias("arguments"))
+    return d.select("conv_id", F.col("turn").cast("long").alias("at"), F.to_json(event).alias("event"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def conversation_latest(spark, sf: str) -> DataFrame:
+    """How each conversation stands after its last turn, kept as state by a stream."""
+    expiry.use_keyed_state(spark)
+    d = drained(conversations.conversation_stream(_turns(spark, sf), "conv_id"), scratch_path(spark, "conversations"), "update")
+    d = d.groupBy("conv_id").agg(F.max_by(F.struct("phase", "domain", "last_tool", "error", "goal", "query", "state_version"), "state_version").alias("s"))
+    return d.select("conv_id", "s.phase", "s.domain", "s.last_tool", "s.error", F.sha2("s.goal", 256).alias("goal_sha256"), F.sha2("s.query", 256).alias("query_sha256"), "s.state_version")
+
+
+def tailed_turns(spark, sf: str) -> DataFrame:
+    """Turns of each conversation from the second on, up to the first of an assistant with an even length, as a stream gives them."""
+    expiry.use_keyed_state(spark)
+    path = f"{sf}/conversations.parquet"
+    d = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    ends = (F.col("role") == "assistant") & (F.length("text") % 2 == 0)
+    d = d.select(F.col("conv_id").alias("task_id"), F.col("turn").cast("long").alias("event_id"), F.when(ends, "completed").otherwise("progress").alias("event"), F.col("text").alias("data"))
+    d = drained(queue.tailed(d, after=1), scratch_path(spark, "tail"))
+    return d.select(F.col("task_id").alias("conv_id"), "place", F.col("event_id").alias("turn"), "event", F.sha2("data", 256).alias("data_sha256"))
+
+
+def delivered_jobs(spark, sf: str) -> DataFrame:
+    """One job a conversation and role, enqueued, delivered by a stream of the queue, and acknowledged."""
+    queue.register(spark)
+    expiry.use_keyed_state(spark)
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    d = _t(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    jobs = d.select(F.concat_ws("-", F.col("conv_id").cast("string"), "role").alias("job_id"), F.lit("t").alias("tenant_id"), F.col("role").alias("user_id"), F.col("conv_id").cast("string").alias("task_id"), (F.col("n") % 3).cast("int").alias("attempt"), at.alias("enqueued_at"))
+    path = scratch_path(spark, "queue")
+    queue.enqueue(jobs, path)
+    return drained(queue.delivered(spark, path), scratch_path(spark, "delivered")).select("job_id", "user_id", "task_id", F.col("attempt").cast("long").alias("attempt"))
+
+
+QUERIES = {f.__name__: f for f in (citation_suggestions, conversation_latest, tailed_turns, delivered_jobs)}
+
+ORACLE_SQL = {
+    "conversation_latest": """WITH e AS (SELECT *, role <> 'user' AS tool, turn % 4 <> 3 AS won, length(text) % 2 = 0 AS search FROM conversations)
+SELECT conv_id, max_by(CASE WHEN role = 'user' THEN 'planning' WHEN search THEN CASE WHEN won THEN 'selection_ready' ELSE 'search_failed' END WHEN won THEN 'completed' ELSE 'download_failed' END, turn) AS phase,
+CASE WHEN bool_or(tool AND search) THEN 'literature' ELSE 'general' END AS domain, coalesce(max_by(CASE WHEN search THEN 'search_papers' ELSE 'acquire_paper_to_knowledge' END, turn) FILTER (tool AND won), '') AS last_tool,
+max_by(CASE WHEN tool AND NOT won THEN 'bad' ELSE '' END, turn) AS error, sha256(coalesce(max_by(left(trim(text), 1000), turn) FILTER (role = 'user'), '')) AS goal_sha256,
+sha256(coalesce(max_by(left(text, 500), turn) FILTER (tool AND search), '')) AS query_sha256, count(*) AS state_version FROM e GROUP BY conv_id""",
+    "tailed_turns": """WITH e AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' AND length(text) % 2 = 0 THEN 'completed' ELSE 'progress' END AS event, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+t AS (SELECT conv_id, min(place) FILTER (event = 'completed') AS last FROM e GROUP BY conv_id)
+SELECT conv_id, place, CAST(turn AS BIGINT) AS turn, event, sha256(text) AS data_sha256 FROM e JOIN t USING (conv_id) WHERE place >= 1 AND (last IS NULL OR place <= last)""",
+    "delivered_jobs": "SELECT conv_id || '-' || role AS job_id, role AS user_id, CAST(conv_id AS VARCHAR) AS task_id, count(*) % 3 AS attempt FROM conversations GROUP BY conv_id, role",
+}

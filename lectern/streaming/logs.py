@@ -71,3 +71,18 @@ def streamed(events: DataFrame, folder: str, to_rows, key: list[str]) -> DataFra
     rest = [c for c in columns if c not in key]
     d = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
     return d.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def drained(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that the stream ``rows`` gives until its source has no more, with ``batch``, the number of the micro-batch.
+
+    A batch that runs again replaces its own rows; the checkpoint lies in the same shared folder.
+    """
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = rows.sparkSession
+    spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")  # a stream without rows has none else
+    return spark.read.schema(StructType([*rows.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows").where("batch >= 0")
