@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import fuzzy
-from lectern.scratch import scratch_path
-from lectern.streaming import conversations, expiry, queue
+from lectern.operators import fuzzy, scope
+from lectern.scratch import read_version, scratch_path, write_version
+from lectern.streaming import conversations, expiry, queue, state
 from lectern.streaming.logs import drained
 
 
@@ -67,9 +67,36 @@ def delivered_jobs(spark, sf: str) -> DataFrame:
     return drained(queue.delivered(spark, path), scratch_path(spark, "delivered")).select("job_id", "user_id", "task_id", F.col("attempt").cast("long").alias("attempt"))
 
 
-QUERIES = {f.__name__: f for f in (citation_suggestions, conversation_latest, tailed_turns, delivered_jobs)}
+def tenant_papers(spark, sf: str) -> DataFrame:
+    """Papers of one user of one tenant, from a store in which tenants and users have folders of their own."""
+    d = _t(spark, sf, "documents").select(F.concat(F.lit("s-"), F.coalesce("source", F.lit(""))).alias("tenant_id"), F.concat(F.lit("u-"), F.coalesce("lang", F.lit(""))).alias("user_id"), "doc_id", F.sha2("text", 256).alias("content_hash"))
+    path = scratch_path(spark, "papers")
+    write_version(d, path, ("tenant_id", "user_id"))
+    store = read_version(spark, path)
+    tenant = store.agg(F.min("tenant_id")).first()[0]
+    return scope.scoped(store, tenant or "", "u-en").select("tenant_id", "user_id", "doc_id", "content_hash")
+
+
+def usage_rates(spark, sf: str) -> DataFrame:
+    """Rates of model use by kind of event; the sketch's percentile is held against the exact share of calls below it."""
+    e = _t(spark, sf, "events").withColumn("k", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)))
+    calls = e.select("event_type", (F.col("event_id") % 2 == 0).alias("baseline"), (F.col("k") * F.when(F.col("event_id") % 2 == 0, 3).otherwise(2)).alias("input_tokens"), (F.col("k") % 3 == 0).alias("cached"), (F.col("k") % 5 > 0).alias("cacheable"), F.col("value").alias("latency_ms"))
+    d = state.usage_rates(calls, ["event_type"], e.select("event_type", (F.col("k") % 4 == 0).alias("deterministic")), e.where("value > 50").select("event_type", (F.col("k") % 7 == 0).alias("approved"))).drop("latency")
+    at = calls.join(F.broadcast(d.select("event_type", "latency_p95")), "event_type").groupBy("event_type").agg(  # one row a kind of event
+        F.avg((F.col("latency_ms") < F.col("latency_p95")).cast("double")).alias("below"), F.avg((F.col("latency_ms") <= F.col("latency_p95")).cast("double")).alias("upto"))
+    near = (F.col("below") <= 0.95 + 0.014) & (F.col("upto") >= 0.95 - 0.014)
+    return d.drop("latency_p95").join(at.select("event_type", near.alias("p95_within")), "event_type")
+
+
+QUERIES = {f.__name__: f for f in (citation_suggestions, conversation_latest, tailed_turns, delivered_jobs, tenant_papers, usage_rates)}
 
 ORACLE_SQL = {
+    "tenant_papers": """SELECT 's-' || coalesce(source, '') AS tenant_id, 'u-' || coalesce(lang, '') AS user_id, doc_id, sha256(text) AS content_hash FROM documents
+WHERE lang = 'en' AND 's-' || coalesce(source, '') = (SELECT min('s-' || coalesce(source, '')) FROM documents)""",
+    "usage_rates": """WITH e AS (SELECT *, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, event_id % 2 = 0 AS b FROM events)
+SELECT event_type, count(*) AS calls, round(CAST(sum(3 * k) FILTER (b) - coalesce(sum(2 * k) FILTER (NOT b), 0) AS DOUBLE) / nullif(sum(3 * k) FILTER (b), 0), 4) AS token_saving, round(avg(CAST(k % 4 = 0 AS INT)), 4) AS no_call_rate,
+round(CAST(count(*) FILTER (k % 3 = 0 AND k % 5 > 0) AS DOUBLE) / nullif(count(*) FILTER (k % 5 > 0), 0), 4) AS cache_hit_rate, round(CAST(count(*) FILTER (k % 7 = 0 AND value > 50) AS DOUBLE) / nullif(count(*) FILTER (value > 50), 0), 4) AS approval_rate,
+true AS p95_within FROM e GROUP BY event_type""",
     "conversation_latest": """WITH e AS (SELECT *, role <> 'user' AS tool, turn % 4 <> 3 AS won, length(text) % 2 = 0 AS search FROM conversations)
 SELECT conv_id, max_by(CASE WHEN role = 'user' THEN 'planning' WHEN search THEN CASE WHEN won THEN 'selection_ready' ELSE 'search_failed' END WHEN won THEN 'completed' ELSE 'download_failed' END, turn) AS phase,
 CASE WHEN bool_or(tool AND search) THEN 'literature' ELSE 'general' END AS domain, coalesce(max_by(CASE WHEN search THEN 'search_papers' ELSE 'acquire_paper_to_knowledge' END, turn) FILTER (tool AND won), '') AS last_tool,

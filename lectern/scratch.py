@@ -40,14 +40,16 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(p.getName()[1:]) for p in names if p.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def write_version(df: DataFrame, path: str) -> int:
-    """Writes ``df`` as the next version of the table at ``path``.
+def write_version(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> int:
+    """Writes ``df`` as the next version of the table at ``path``, in a folder for each value of ``by`` where that is given.
+
+    Reads that name such a value then open its folder alone; values are texts, and an empty text comes back as null.
 
     Readers go on with the version before until the last file is in place, so a write that fails midway changes nothing,
     and a table may be written from what it held.
     """
     version = max(_versions(df.sparkSession, path), default=0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/v{version}")
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/v{version}")
     return version
 
 
@@ -56,4 +58,10 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     found = _versions(spark, path)
     if version not in found and (version is not None or not found):
         raise ValueError(f"no whole version {version or ''} under {path}")
-    return spark.read.parquet(f"{path}/v{version or found[-1]}")
+    kinds = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(kinds)
+    spark.conf.set(kinds, "false")  # a tenant 007 isn't 7
+    try:
+        return spark.read.parquet(f"{path}/v{version or found[-1]}")
+    finally:
+        spark.conf.set(kinds, before)

@@ -166,3 +166,30 @@ def usage(log: DataFrame, group: list[str], metadata: str = "metadata") -> DataF
         F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("__m.input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("__m.output_tokens"), F.lit(0)).alias("output_tokens"),
         F.round(F.avg(F.coalesce("__m.cached", F.lit(False)).cast("double")), 4).alias("cache_rate"), F.percentile("__m.latency_ms", 0.95).alias("latency_p95"),
     )
+
+
+def usage_rates(calls: DataFrame, group: list[str], plans: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For each group: token saving, share of plans made without a call, cache hits, share of candidates approved, and latency.
+
+    ``calls`` (*group, baseline, input_tokens, cached, cacheable, latency_ms): saving is one less the input tokens over those of
+    the baseline's calls; hits are of the calls that a cache may answer. ``plans`` (*group, deterministic), ``candidates``
+    (*group, approved). A rate without anything to divide by is null. ``latency`` is a KLL sketch as bytes, which merges by
+    ``kll_merge_agg_double``; ``latency_p95`` is read from it, and its rank is within 1.4 % of 95 % (99 % of the time).
+    """
+    rate = lambda a, b: F.when(b > 0, F.round(a / b, 4))
+    held = F.coalesce("cached", F.lit(False))
+    c = calls.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("calls"), F.sum(F.when(F.col("baseline"), F.col("input_tokens"))).alias("__before"), F.sum(F.when(~F.col("baseline"), F.col("input_tokens"))).alias("__after"),
+        rate(F.count_if(held & F.col("cacheable")), F.count_if("cacheable")).alias("cache_hit_rate"), F.kll_sketch_agg_double(F.col("latency_ms").cast("double")).alias("latency"),
+    )
+    c = c.withColumn("token_saving", rate(F.col("__before") - F.coalesce("__after", F.lit(0)), F.col("__before"))).drop("__before", "__after")
+    share = lambda d, flag, out: d.groupBy(*group).agg(rate(F.count_if(F.coalesce(flag, F.lit(False))), F.count(F.lit(1))).alias(out))
+    d = c.join(share(plans, "deterministic", "no_call_rate"), group, "full_outer").join(share(candidates, "approved", "approval_rate"), group, "full_outer")
+    p95 = F.when(F.kll_sketch_get_n_double("latency") > 0, F.kll_sketch_get_quantile_double("latency", F.lit(0.95)))
+    return d.select(*group, F.coalesce("calls", F.lit(0)).alias("calls"), "token_saving", "no_call_rate", "cache_hit_rate", "approval_rate", p95.alias("latency_p95"), "latency")
+
+
+def merged_latency(rates: DataFrame, group: list[str]) -> DataFrame:
+    """(*group, latency_p95) over the sketches of several rows, no call being read again."""
+    d = rates.where("latency IS NOT NULL").groupBy(*group).agg(F.kll_merge_agg_double("latency").alias("latency"))
+    return d.select(*group, F.when(F.kll_sketch_get_n_double("latency") > 0, F.kll_sketch_get_quantile_double("latency", F.lit(0.95))).alias("latency_p95"))

@@ -243,3 +243,35 @@ def test_a_tail_replays_goes_on_and_stops(keyed, tmp_path):
     assert got[2:] == [("a", 3, "completed"), ("b", 1, "progress")]
     add(("a", 8, "progress"), ("b", 9, "failed"))
     assert got[4:] == [("b", 2, "failed")]
+
+
+def test_a_scoped_read_opens_one_folder(spark, tmp_path):
+    from lectern.operators.scope import scoped
+    from lectern.scratch import read_version, write_version
+
+    path = f"file://{tmp_path}/papers"
+    d = spark.createDataFrame([("007", "u", 1), ("007", "v", 2), ("7", "u", 3)], "tenant_id string, user_id string, paper int")
+    assert write_version(d, path, ("tenant_id", "user_id")) == 1
+    own = scoped(read_version(spark, path), "007", "u")
+    assert [tuple(r) for r in own.select("tenant_id", "user_id", "paper").collect()] == [("007", "u", 1)]
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "tenant_id" in plan.split("PartitionFilters: [")[1].split("]")[0] and "user_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    active = spark.createDataFrame([("007", "active"), ("7", "closed")], "tenant_id string, status string")
+    active.write.parquet(f"{tmp_path}/tenants")
+    joined = read_version(spark, path).join(spark.read.parquet(f"{tmp_path}/tenants").where("status = 'active'"), "tenant_id")
+    assert sorted(r.paper for r in joined.collect()) == [1, 2] and "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sketches_of_latency_merge(spark):
+    from lectern.streaming import state
+
+    rng = random.Random(4)
+    rows = [("ab"[i % 2], i % 4 == 0, 10, i % 3 == 0, i % 5 > 0, rng.expovariate(0.01)) for i in range(20000)]
+    calls = spark.createDataFrame(rows, "g string, baseline boolean, input_tokens long, cached boolean, cacheable boolean, latency_ms double")
+    none = spark.createDataFrame([("c", None)], "g string, deterministic boolean")
+    d = state.usage_rates(calls, ["g"], none, none.withColumnRenamed("deterministic", "approved"))
+    out = {r.g: r for r in d.collect()}
+    assert out["c"].calls == 0 and out["c"].no_call_rate == 0.0 and out["c"].token_saving is None and out["a"].token_saving == 0.0 and out["b"].token_saving is None and out["a"].approval_rate is None
+    every = sorted(r[5] for r in rows)
+    p95 = state.merged_latency(d.withColumn("all", F.lit(1)), ["all"]).first().latency_p95
+    assert abs(sum(x <= p95 for x in every) / len(every) - 0.95) < 0.014
