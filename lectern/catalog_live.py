@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import fuzzy, scope
+from lectern.operators import batch_ranking, fuzzy, retrieval, scope
 from lectern.scratch import read_version, scratch_path, write_version
 from lectern.streaming import conversations, expiry, queue, state
 from lectern.streaming.logs import drained
@@ -88,9 +88,27 @@ def usage_rates(spark, sf: str) -> DataFrame:
     return d.drop("latency_p95").join(at.select("event_type", near.alias("p95_within")), "event_type")
 
 
-QUERIES = {f.__name__: f for f in (citation_suggestions, conversation_latest, tailed_turns, delivered_jobs, tenant_papers, usage_rates)}
+def bm25_batch(spark, sf: str) -> DataFrame:
+    """The ten best documents for each benchmark item, over postings stored in blocks of one language and like lengths."""
+    path = scratch_path(spark, "blocks")
+    tokens = retrieval.tokens(F.col("text"))
+    docs = _t(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), tokens.alias("tokens"), F.size(tokens).alias("length"))
+    batch_ranking.write_blocks(docs, path, ["lang", "length"])
+    items = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), tokens.alias("tokens"))
+    found, _ = batch_ranking.bm25_batch(spark, path, items, 10)
+    return found.select(F.col("query_id").alias("item_id"), F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+QUERIES = {f.__name__: f for f in (citation_suggestions, conversation_latest, tailed_turns, delivered_jobs, tenant_papers, usage_rates, bm25_batch)}
+
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9._/+\-]*')"
 
 ORACLE_SQL = {
+    "bm25_batch": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n, greatest(avg(len(t)), 1) AS m FROM d),
+q AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest({_TOKENS}) AS token FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, len(t) AS l, token, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS token FROM d) GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+b AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * l / m))), 6) AS score FROM q JOIN p USING (token) JOIN f USING (token), s GROUP BY item_id, doc_id)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM b) WHERE rank <= 10""",
     "tenant_papers": """SELECT 's-' || coalesce(source, '') AS tenant_id, 'u-' || coalesce(lang, '') AS user_id, doc_id, sha256(text) AS content_hash FROM documents
 WHERE lang = 'en' AND 's-' || coalesce(source, '') = (SELECT min('s-' || coalesce(source, '')) FROM documents)""",
     "usage_rates": """WITH e AS (SELECT *, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, event_id % 2 = 0 AS b FROM events)
