@@ -275,7 +275,7 @@ def task_states(spark, sf: str) -> DataFrame:
 
 def queue_states(spark, sf: str) -> DataFrame:
     action = F.when(F.col("event_type") == "signup", "enqueue").when(F.col("event_type") == "click", "reserve").when(F.col("event_type") == "purchase", "ack").when(F.col("event_type") == "error", "fail").otherwise("reserve")
-    e = _t(spark, sf, "events").where("event_type <> 'purchase' or event_id % 10 = 0").select(F.col("user_id").alias("job_id"), "event_id", action.alias("action"))
+    e = _t(spark, sf, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 7).cast("string")).alias("job_id"), "event_id", action.alias("action"))
     return state.queue_state(e)
 
 
@@ -298,7 +298,7 @@ def dag_waves(spark, sf: str) -> DataFrame:
 
 
 def planned_tasks(spark, sf: str) -> DataFrame:
-    g = _t(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 4 == 0, "").otherwise(F.concat(F.lit("a survey "), F.left("text", F.lit(100)))).alias("goal"), F.when(F.col("item_id") % 2 == 0, "APA").alias("citation_style"), (F.col("item_id") % 50).cast("int").alias("max_papers"))
+    g = _t(spark, sf, "benchmark").select("item_id", F.when(F.col("item_id") % 4 == 0, "").otherwise(F.concat(F.lit("a survey "), "text")).alias("goal"), F.when(F.col("item_id") % 2 == 0, "APA").alias("citation_style"), (F.col("item_id") % 50).cast("int").alias("max_papers"))
     return dag.planned(g, "item_id").select("item_id", "node_id", F.array_join("depends_on", ",").alias("depends_on"), "optional")
 
 
@@ -431,7 +431,7 @@ SELECT user_id, event_id, event FROM e LEFT JOIN t USING (user_id) WHERE event_i
     "task_states": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
 SELECT user_id AS task_id, CASE WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' AND event_id % 2 = 0 THEN 'waiting_user' ELSE 'running' END AS status,
 CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE event_type END AS phase, CAST(CASE WHEN event_type = 'purchase' THEN 100 ELSE event_id % 90 END AS BIGINT) AS percent FROM l""",
-    "queue_states": """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'purchase' THEN 'ack' WHEN 'error' THEN 'fail' ELSE 'reserve' END AS a FROM events WHERE event_type <> 'purchase' OR event_id % 10 = 0),
+    "queue_states": """WITH e AS (SELECT user_id || '-' || event_id % 7 AS user_id, event_id, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'purchase' THEN 'ack' WHEN 'error' THEN 'fail' ELSE 'reserve' END AS a FROM events),
 g AS (SELECT user_id, max_by(a, event_id) AS last, count(*) FILTER (a = 'reserve') AS attempt, bool_or(a = 'ack') AS acked FROM e GROUP BY user_id)
 SELECT user_id AS job_id, CASE WHEN acked THEN 'done' WHEN last = 'fail' AND attempt >= 3 THEN 'dead' WHEN last = 'reserve' THEN 'unacknowledged' ELSE 'waiting' END AS status, attempt FROM g""",
     "access_sessions": """WITH g AS (SELECT user_id, max_by(event_type, event_id) AS last, max_by(ts, event_id) FILTER (event_type = 'purchase') AS v FROM events GROUP BY user_id)
@@ -441,7 +441,7 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED P
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M') AS opened, strftime(max(ts), '%Y-%m-%d %H:%M') AS last_used, count(*) AS n FROM s GROUP BY user_id, s""",
     "dag_waves": """WITH RECURSIVE r AS (SELECT CAST(p_partkey AS BIGINT) AS node_id, CAST(0 AS BIGINT) AS wave FROM part UNION SELECT p_partkey, r.wave + 1 FROM r JOIN part ON r.node_id >= 1 AND (r.node_id = p_partkey // 2 OR r.node_id = p_partkey // 3))
 SELECT node_id, max(wave) AS wave FROM r GROUP BY node_id""",
-    "planned_tasks": """WITH g AS (SELECT item_id, item_id % 50 >= 30 OR length('a survey ' || left(text, 100)) >= 180 AS c FROM benchmark WHERE item_id % 4 <> 0 AND text IS NOT NULL)
+    "planned_tasks": """WITH g AS (SELECT item_id, item_id % 50 >= 30 OR length('a survey ' || text) >= 180 AS c FROM benchmark WHERE item_id % 4 <> 0 AND text IS NOT NULL)
 SELECT item_id, 'research_scope' AS node_id, '' AS depends_on, false AS optional FROM g UNION ALL SELECT item_id, 'argument_structure', 'research_scope', false FROM g UNION ALL SELECT item_id, 'citation_policy', 'research_scope', false FROM g
 UNION ALL SELECT item_id, 'preflight_critic', 'research_scope,argument_structure,citation_policy', true FROM g WHERE c""",
     "public_urls": """WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'http://10.0.0.1/' || page_id WHEN page_id % 7 = 0 THEN 'ftp://x.org/a' ELSE url END AS url FROM pages)

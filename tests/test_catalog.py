@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lectern import catalog, catalog_live, catalog_more
+from lectern import catalog, catalog_live, catalog_more, catalog_rules
 from lectern.functions import text as T
 from lectern.operators import relational as R
 from lectern.operators.retrieval import bm25
@@ -29,7 +29,7 @@ def same(spark, name, queries, sql):
     assert sorted((tuple(norm(r[c]) for c in columns) for r in df.collect()), key=repr) == want
 
 
-QUERIES, SQL = catalog.QUERIES | catalog_more.QUERIES | catalog_live.QUERIES, catalog.ORACLE_SQL | catalog_more.ORACLE_SQL | catalog_live.ORACLE_SQL | {k: catalog.ORACLE_SQL[v] for k, v in catalog_more.SAME_AS.items()}
+QUERIES, SQL = catalog.QUERIES | catalog_more.QUERIES | catalog_live.QUERIES | catalog_rules.QUERIES, catalog.ORACLE_SQL | catalog_more.ORACLE_SQL | catalog_live.ORACLE_SQL | catalog_rules.ORACLE_SQL | {k: catalog.ORACLE_SQL[v] for k, v in catalog_more.SAME_AS.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
