@@ -275,7 +275,17 @@ def legacy_annotations(spark: SparkSession, path: str) -> DataFrame:
 # How names, modules and entry points of skills are made.
 SKILL_NAME, MODULE, ENTRY = "^[a-z][a-z0-9_]{1,63}$", "^skills\\.[a-zA-Z0-9_.]+$", "^[a-zA-Z_][a-zA-Z0-9_]*$"
 _MANIFEST = StructType([StructField(c, StringType()) for c in ("name", "module", "entrypoint", "version", "description")] + [StructField("enabled", BooleanType())])
-_FRONT = re.compile(r"(?:^|\n)---\r?\n(.*?)\r?\n---(?:\r?\n|$)", re.DOTALL)
+def _last_front(text: str) -> str | None:
+    """What stands between the last two rules that open and close a block."""
+    held, found = None, None
+    for line in text.splitlines():
+        if line != "---":
+            held = None if held is None else [*held, line]
+        elif held:
+            held, found = None, "\n".join(held)
+        else:
+            held = []
+    return found
 
 
 @F.pandas_udf(_MANIFEST)
@@ -284,9 +294,9 @@ def front_matter(text: pd.Series) -> pd.DataFrame:
     names = ["name", "module", "entrypoint", "version", "description", "enabled"]
 
     def one(t) -> list:
-        found = _FRONT.findall(t or "")
+        found = _last_front(t or "")
         try:
-            m = (yaml.safe_load(found[-1]) or {}) if found else None
+            m = (yaml.safe_load(found) or {}) if found is not None else None
         except yaml.YAMLError:
             m = None
         if not isinstance(m, dict):

@@ -87,9 +87,9 @@ def test_chunk_time_grows_with_length(spark):
 
 
 def test_vectors(spark):
-    v = one(spark, V.lexical_embedding(F.col("a"), 128), "citation audit retrieval")
-    assert len(v) == 128 and any(v) and v == one(spark, V.lexical_embedding(F.col("a"), 128), "citation audit retrieval")
-    q, near, far = (one(spark, V.lexical_embedding(F.col("a"), 256), t) for t in ("citation audit", "citation audit for academic papers", "database deployment pipeline"))
+    v = one(spark, V.lexical_embedding(F.col("a"), 128), "glacier melt rates")
+    assert len(v) == 128 and any(v) and v == one(spark, V.lexical_embedding(F.col("a"), 128), "glacier melt rates")
+    q, near, far = (one(spark, V.lexical_embedding(F.col("a"), 256), t) for t in ("river delta", "river delta sediments and tides", "quarterly tax invoices"))
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     assert dot(q, near) > dot(q, far) and not any(one(spark, V.lexical_embedding(F.col("a"), 64), "  "))
     assert one(spark, V.normalised(F.array(F.lit(3.0), F.lit(4.0)))) == [0.6, 0.8] and one(spark, V.distance_score(F.lit(1.5))) == 0.0
@@ -110,12 +110,12 @@ MEMORY = "memory_id string, tenant_id string, user_id string, memory_type string
 
 
 def test_memories_are_found_kept_and_recalled(spark):
-    m = spark.createDataFrame([("t", "u", "c", 0, "user", "请记住我偏好近三年的异常检测论文，并使用 IEEE 引用格式。"), ("t", "u", "c", 1, "assistant", "请记住别的")], "tenant_id string, user_id string, conversation_id string, position int, role string, content string")
+    m = spark.createDataFrame([("t", "u", "c", 0, "user", "请记住我习惯先看近五年的遥感影像论文，最后按 APA 列出。"), ("t", "u", "c", 1, "assistant", "请记住别的")], "tenant_id string, user_id string, conversation_id string, position int, role string, content string")
     found = memory.extracted(m)
     base = memory.remembered(spark.createDataFrame([], MEMORY), found, now(), ["position", "rule"])
-    ask = spark.createDataFrame([("t", "u", "帮我检索异常检测论文并整理引用"), ("t", "v", "异常检测")], "tenant_id string, user_id string, query string")
+    ask = spark.createDataFrame([("t", "u", "再找几篇遥感影像论文"), ("t", "v", "遥感影像")], "tenant_id string, user_id string, query string")
     got = memory.recalled(base, ask, now()).collect()
-    assert any("近三年" in r.content for r in got) and any("IEEE" in r.content for r in got) and {r.user_id for r in got} == {"u"}
+    assert any("近五年" in r.content for r in got) and any("APA" in r.content for r in got) and {r.user_id for r in got} == {"u"}
     used = memory.touched(base, memory.recalled(base, ask, now()), now())
     assert {r.access_count for r in used.collect()} == {1}
     gone = memory.forgotten(used, used, now())
@@ -128,13 +128,13 @@ def test_memories_are_found_kept_and_recalled(spark):
 
 
 def test_citations(spark):
-    texts = spark.createDataFrame([(1, "Supported claim [paper:arxiv:2301.00001] unsupported [paper:fake:1]."), (2, "ok [paper:arxiv:2301.00001]"), (3, None)], "doc int, text string")
-    pool = spark.createDataFrame([(1, "paper:arxiv:2301.00001"), (1, "paper:fake:12"), (2, "paper:arxiv:2301.00001")], "doc int, ref string")
+    texts = spark.createDataFrame([(1, "First [paper:arxiv:2405.00011], then [paper:web:zz9]!"), (2, "only [paper:arxiv:2405.00011]"), (3, None)], "doc int, text string")
+    pool = spark.createDataFrame([(1, "paper:arxiv:2405.00011"), (1, "paper:web:zz91"), (2, "paper:arxiv:2405.00011")], "doc int, ref string")
     out = {r.doc: r for r in citations.verified(texts, pool).collect()}
-    assert not out[1].is_valid and out[1].hallucinated_ids == ["paper:fake:1"] and out[1].missing_reference_ids == ["paper:fake:12"] and out[1].coverage == 0.5
-    assert out[2].is_valid and out[2].found_ids == ["paper:arxiv:2301.00001"] and out[2].coverage == 1.0 and out[3].is_valid and out[3].coverage == 0.0
-    assert [tuple(r) for r in citations.suggestions(citations.verified(texts, pool), pool).collect()] == [(1, "paper:fake:1", ["paper:fake:12"])]
-    papers = spark.createDataFrame([("paper:arxiv:2301.00001",), ("x",)], "paper_id string")
+    assert not out[1].is_valid and out[1].hallucinated_ids == ["paper:web:zz9"] and out[1].missing_reference_ids == ["paper:web:zz91"] and out[1].coverage == 0.5
+    assert out[2].is_valid and out[2].found_ids == ["paper:arxiv:2405.00011"] and out[2].coverage == 1.0 and out[3].is_valid and out[3].coverage == 0.0
+    assert [tuple(r) for r in citations.suggestions(citations.verified(texts, pool), pool).collect()] == [(1, "paper:web:zz9", ["paper:web:zz91"])]
+    papers = spark.createDataFrame([("paper:arxiv:2405.00011",), ("x",)], "paper_id string")
     assert citations.cited_papers(texts, papers).count() == 1
 
 
@@ -204,7 +204,7 @@ def test_scopes_and_logins(spark):
 
 
 def test_guards(spark):
-    urls = {"http://127.0.0.1/private.pdf": False, "https://x.org/a": True, "ftp://x.org": False, "http://localhost": False, "http://10.1.2.3/": False, "http://172.20.0.1": False, "http://h.local/": False, "": False}
+    urls = {"http://127.0.0.1:8080/x": False, "https://x.org/a": True, "ftp://x.org": False, "http://localhost": False, "http://10.1.2.3/": False, "http://172.20.0.1": False, "http://h.local/": False, "": False}
     assert [one(spark, scope.is_public_url(F.col("a")), u) for u in urls] == list(urls.values())
     assert [one(spark, scope.inside(F.col("a"), F.lit("/r/t")), p) for p in ("/r/t/x", "/r/t/../u", "/r/tt", "/r/./t")] == [True, False, False, True]
     assert json.loads(one(spark, scope.redacted(F.col("a")), '{"api_key": "s", "n": {"Token": 1, "ok": [1]}}')) == {"api_key": "[REDACTED]", "n": {"Token": "[REDACTED]", "ok": [1]}}
@@ -306,13 +306,13 @@ def test_task_graphs(spark):
 
 def test_routes(spark):
     none = F.lit(None).cast("string")
-    r = one(spark, routing.route(F.col("a"), F.lit("survey_review"), none, F.lit(False)), "写一篇异常检测综述")
+    r = one(spark, routing.route(F.col("a"), F.lit("survey_review"), none, F.lit(False)), "写一篇知识图谱综述")
     assert (r.target, r.execution_mode) == ("writing_agent", "skill")
     r = one(spark, routing.route(F.col("a"), none, F.lit("cnki"), F.lit(False)), "请对比分析三个方案并形成完整研究综述")
     assert (r.target, r.execution_mode) == ("writing_agent", "delegation") and {"writing_intent", "active_source:cnki"} <= set(r.reasons)
-    topics = {"给我在知网搜点云，返回一篇并存储知识库": "点云", "搜索三维点云的论文，只返回一篇就好": "三维点云", "在知网搜索数据修复论文，先展示结果，不要下载": "数据修复", "换成异常检测，还是下载第一篇": "异常检测"}
+    topics = {"在知网搜图神经网络，返回两篇": "图神经网络", "搜索多模态检索的论文，只返回一篇就好": "多模态检索", "在知网搜索语音合成论文，不要下载": "语音合成", "换成知识图谱，还是下载第二篇": "知识图谱"}
     assert [one(spark, routing.research_topic(F.col("a")), t) for t in topics] == list(topics.values())
-    assert one(spark, routing.cleaned_query(F.col("a")), "在知网搜索点云论文，返回一篇") == "点云"
+    assert one(spark, routing.cleaned_query(F.col("a")), "在知网搜索知识图谱论文，返回三篇") == "知识图谱"
     assert [one(spark, routing.download_refused(F.col("a")), t) for t in ("先不下载", "下载第一篇")] == [True, False]
     assert [one(spark, routing.command(F.col("a")), t) for t in ("连接机构！", "paper:arxiv:1", "hello")] == ["start_institution_login", "search_papers", None]
     tools_ = {"在知网搜索点云": "search_cnki_papers", "删除 paper:a:1": "delete_knowledge", "保存这篇": "search_papers", "天气": None}
@@ -391,7 +391,7 @@ def test_tools_and_their_store(spark, tmp_path):
 def test_feeds_and_works(spark):
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2301.00001v1</id><title>A\n title</title><summary> s </summary><published>2023-01-02T00:00:00Z</published><author><name>N N</name></author></entry><entry><id></id><title>x</title></entry></feed>'
     a = P.arxiv_papers(spark.createDataFrame([(atom,)], "payload string")).collect()
-    assert [(r.paper_id, r.title, r.authors, r.abstract, r.published_at) for r in a] == [("paper:arxiv:2301.00001v1", "A title", ["N N"], "s", "2023-01-02")]
+    assert [(r.paper_id, r.title, r.authors, r.abstract, r.published_at) for r in a] == [("paper:arxiv:2405.00011v1", "A title", ["N N"], "s", "2023-01-02")]
     works = {"results": [{"id": "https://openalex.org/W1", "title": " T ", "doi": "https://doi.org/10.1/x", "authorships": [{"author": {"display_name": "A"}}, {"author": {}}], "abstract_inverted_index": {"b": [1], "a": [0, 2]}, "open_access": {"is_oa": True}, "cited_by_count": 3}, {"id": "W2"}]}
     o = P.openalex_papers(spark.createDataFrame([(json.dumps(works),)], "payload string")).collect()
     assert [(r.paper_id, r.doi, r.authors, r.abstract, r.is_oa, r.cited_by_count) for r in o] == [("paper:openalex:10.1_x", "10.1/x", ["A"], "a b a", True, 3)]
