@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import citations, collections, memory, records, scope
+from lectern.plans import routing
 from lectern.streaming import state
 
 
@@ -117,8 +118,24 @@ def numbered_references(spark, sf: str) -> DataFrame:
     return d.select("o_custkey", "o_orderkey", F.col("number").cast("long").alias("number"), "line")
 
 
+def planned_tools(spark, sf: str) -> DataFrame:
+    """The tool and the arguments that rules choose for a request made of each turn, and the plan of search and download."""
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", ((F.col("conv_id") + F.col("turn")) % 10).alias("i"), F.concat(F.lit("alpha"), F.translate(F.col("conv_id").cast("string"), "0123456789", "abcdefghij")).alias("w"))
+    said = {
+        0: F.lit("连接机构"), 1: F.concat(F.lit("在知网搜索"), "w", F.lit("论文")), 2: F.lit("下载这篇"), 3: F.lit("保存这篇"), 4: F.concat(F.lit("删除 paper:web:"), F.col("conv_id").cast("string")), 5: F.lit("知识库有哪些"),
+        6: F.concat(F.lit("下载 https://direct.mit.edu/"), "w"), 7: F.concat(F.lit("搜索"), "w", F.lit("文献")), 8: F.concat(F.lit("在知网搜索"), "w", F.lit("并下载第2篇")), 9: F.lit("天气如何"),
+    }
+    content = F.lit(None).cast("string")
+    for i, x in said.items():
+        content = F.when(F.col("i") == i, x).otherwise(content)
+    none, chosen = F.lit(None).cast("string"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("paper:a:"), F.col("conv_id").cast("string")))
+    c = c.withColumns({"p": routing.deterministic_plan(content, none, F.lit(False), chosen), "b": routing.combined_plan(content, F.lit(False))})
+    flat = F.array_join(F.array_sort(F.transform(F.map_entries("p.arguments"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    return c.select("conv_id", "turn", "p.tool_name", flat.alias("arguments"), F.col("b.query").alias("both_query"), F.array_join("b.places", ",").alias("both_places"))
+
+
 QUERIES = {f.__name__: f for f in (
-    memory_extraction, text_pieces, found_ids, record_maps, task_audits, run_tree, event_notes, event_tally, last_errors, order_listing, chosen_results, numbered_references,
+    memory_extraction, text_pieces, found_ids, record_maps, task_audits, run_tree, event_notes, event_tally, last_errors, order_listing, chosen_results, numbered_references, planned_tools,
 )}
 
 _FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -153,6 +170,12 @@ SELECT CAST(p.run AS VARCHAR) AS run_id, CAST(c.run AS VARCHAR) AS child_run_id,
     "event_notes": """SELECT event_id, CASE event_type WHEN 'view' THEN 'retriever' WHEN 'click' THEN 'tool' WHEN 'purchase' THEN 'generation' ELSE 'span' END AS kind, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'DEFAULT' END AS level,
 'evt_' || left(sha256(user_id || '|' || event_id), 32) AS key, CAST(greatest(0, round((round(value * 1000) - 5000) / 1000)) AS BIGINT) AS latency_ms, event_type = 'purchase' AS can_delete,
 sha256('event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10)) AS frame_sha256 FROM events""",
+    "planned_tools": """WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 10 AS i, 'alpha' || translate(CAST(conv_id AS VARCHAR), '0123456789', 'abcdefghij') AS w, CASE WHEN turn % 2 = 0 THEN 'paper:a:' || conv_id END AS p FROM conversations)
+SELECT conv_id, turn, CASE i WHEN 0 THEN 'start_institution_login' WHEN 1 THEN 'search_cnki_papers' WHEN 2 THEN CASE WHEN p IS NULL THEN 'institution_session_status' ELSE 'acquire_paper_to_knowledge' END
+WHEN 3 THEN CASE WHEN p IS NULL THEN 'search_papers' ELSE 'acquire_paper_to_knowledge' END WHEN 4 THEN 'delete_knowledge' WHEN 5 THEN 'search_papers' WHEN 6 THEN 'download_institution_url' WHEN 7 THEN 'search_papers' WHEN 8 THEN 'search_cnki_papers' END AS tool_name,
+CASE i WHEN 0 THEN '' WHEN 1 THEN 'limit=20,query=' || w WHEN 2 THEN coalesce('paper_id=' || p, '') WHEN 3 THEN coalesce('paper_id=' || p, 'limit=5,query=这篇,source=all') WHEN 4 THEN 'paper_id=paper:web:' || conv_id WHEN 5 THEN 'limit=10,query=,source=local'
+WHEN 6 THEN 'source=mit_press,source_url=https://direct.mit.edu/' || w WHEN 7 THEN 'limit=5,query=' || w || ',source=all' WHEN 8 THEN 'limit=20,query=' || w END AS arguments,
+CASE i WHEN 8 THEN w END AS both_query, CASE i WHEN 8 THEN '2' END AS both_places FROM c""",
     "event_tally": "SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (value > 50) AS large, count(*) FILTER (value IS NULL) AS none FROM events",
     "last_errors": "SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events WHERE event_type = 'error' GROUP BY user_id",
     "order_listing": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 200",

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.text import collapsed, first_paper_id
+from lectern.functions.text import collapsed, first_link, first_paper_id, once
+from lectern.operators.collections import chosen_places
 
 # The words that tell what a request is about.
 WRITING = ("写作", "论文", "综述", "报告", "章节", "大纲", "参考文献", "改写", "续写")
@@ -119,14 +120,15 @@ def cleaned_query(content: Column) -> Column:
     return F.coalesce(F.nullif(F.btrim(F.regexp_replace(q, "\\s+", " "), F.lit(" ，。；;、")), F.lit("")), F.trim(content))
 
 
+# What a subject loses at its edges, in order: links, words of asking, instructions, later clauses, the word for papers, signs.
+EDGES = (
+    ("https?://\\S+", " "), ("^(?:请|麻烦|帮我|给我|我要|我想|去|在|从|重新|再|再一次)\\s*", ""), (f"(?s){BOUNDARY}.*$", ""), ("(?s)[，,。；;]\\s*(?:先|还是|就|再|然后)?.*$", ""),
+    ("(?:相关的?|方面的?)?\\s*(?:论文|文献|文章)\\s*$", ""), ("[，,。；;：:]\\s*$", ""), ("\\s+", " "),
+)
+
+
 def _subject(text: Column) -> Column:
-    t = F.regexp_replace(text, "https?://\\S+", " ")
-    t = F.regexp_replace(t, "^(?:请|麻烦|帮我|给我|我要|我想|去|在|从|重新|再|再一次)\\s*", "")
-    t = F.regexp_replace(t, f"(?s){BOUNDARY}.*$", "")
-    t = F.regexp_replace(t, "(?s)[，,。；;]\\s*(?:先|还是|就|再|然后)?.*$", "")
-    t = F.regexp_replace(t, "(?:相关的?|方面的?)?\\s*(?:论文|文献|文章)\\s*$", "")
-    t = F.regexp_replace(t, "[，,。；;：:]\\s*$", "")
-    return F.btrim(F.regexp_replace(t, "\\s+", " "), F.lit(" 的，,。；;：:"))
+    return F.btrim(reduce(lambda t, e: F.regexp_replace(t, *e), EDGES, text), F.lit(" 的，,。；;：:"))
 
 
 def research_topic(content: Column) -> Column:
@@ -138,21 +140,34 @@ def research_topic(content: Column) -> Column:
     return _subject(out)
 
 
-def deterministic_tool(content: Column, last_search: Column, had_cnki: Column) -> Column:
-    """The tool that rules choose for a request, first rule first; null where none does."""
+def _asks(content: Column) -> dict[str, Column]:
+    """What the rules look for in a request."""
     t, low = F.coalesce(content, F.lit("")), F.lower(F.coalesce(content, F.lit("")))
-    wide = has_any(low, ("全网", "联网", "openalex", "arxiv", "crossref"))
-    search, download = has_any(t, SEARCH_WORDS), has_any(t, DOWNLOAD_WORDS) & ~download_refused(t)
-    base, link = t.contains("知识库"), t.rlike("https?://")
-    go_on = ((F.coalesce(last_search, F.lit("")) == "search_cnki_papers") | F.coalesce(had_cnki, F.lit(False))) & ~wide & ~base
+    return {
+        "text": t, "low": low, "wide": has_any(low, ("全网", "联网", "openalex", "arxiv", "crossref")), "search": has_any(t, SEARCH_WORDS), "download": has_any(t, DOWNLOAD_WORDS) & ~download_refused(t),
+        "base": t.contains("知识库"), "link": first_link(t), "listed": t.contains("知识库") & has_any(t, ("有什么", "有哪些", "看看")),
+    }
+
+
+def deterministic_tool(content: Column, last_search: Column, had_cnki: Column, candidate: Column | None = None) -> Column:
+    """The tool that rules choose for a request, first rule first; null where none does.
+
+    ``candidate`` is the id of the paper that the conversation has chosen, if it has: then what is to be downloaded or kept
+    without being named is that paper, and so is what is to be deleted.
+    """
+    q, known = _asks(content), lambda c: F.coalesce(c, F.lit("")) != ""
+    t, search, download, base = q["text"], q["search"], q["download"], q["base"]
+    cnki, chosen = F.coalesce(had_cnki, F.lit(False)), known(candidate) if candidate is not None else F.lit(False)
+    go_on = ((F.coalesce(last_search, F.lit("")) == "search_cnki_papers") | cnki) & ~q["wide"] & ~base
+    keep = has_any(t, ("保存", "存储", "入库"))
     rules = (
         (has_any(t, ("机构访问状态", "机构会话状态", "学校VPN状态", "学校 VPN 状态")), "institution_session_status"), (has_any(t, COMMANDS["start_institution_login"]), "start_institution_login"),
         (has_any(t, COMMANDS["confirm_institution_browser_login"]), "confirm_institution_browser_login"), ((t.contains("知网") | go_on) & search, "search_cnki_papers"),
-        (t.contains("验证") & has_any(t, ("机构", "VPN", "权限", "访问")) & link, "verify_institution_access"), (download & link, "download_institution_url"),
-        (download & F.coalesce(had_cnki, F.lit(False)) & t.rlike("\\d|第\\s*[一二三四五六七八九十]\\s*(?:篇|个|条)"), "download_cnki_selections"), (download, "institution_session_status"),
-        (has_any(t, ("断开机构", "退出机构", "撤销机构会话")), "revoke_institution_session"), (has_any(t, ("保存", "存储", "入库")), "search_papers"),
-        (has_any(t, ("删除", "移除")) & (first_paper_id(t) != ""), "delete_knowledge"), (search & has_any(t, ("论文", "文献", "知识库")), "search_papers"),
-        (search & (F.coalesce(last_search, F.lit("")) == "search_papers"), "search_papers"), (base & has_any(t, ("有什么", "有哪些", "看看")), "search_papers"), (low.startswith("paper:"), "search_papers"),
+        (t.contains("验证") & has_any(t, ("机构", "VPN", "权限", "访问")) & known(q["link"]), "verify_institution_access"), (download & known(q["link"]), "download_institution_url"),
+        (download & cnki & t.rlike("\\d|第\\s*[一二三四五六七八九十]\\s*(?:篇|个|条)"), "download_cnki_selections"), (download & chosen, "acquire_paper_to_knowledge"), (download, "institution_session_status"),
+        (has_any(t, ("断开机构", "退出机构", "撤销机构会话")), "revoke_institution_session"), (keep & chosen, "acquire_paper_to_knowledge"), (keep, "search_papers"),
+        (has_any(t, ("删除", "移除")) & (known(first_paper_id(t)) | chosen), "delete_knowledge"), (search & has_any(t, ("论文", "文献", "知识库")), "search_papers"),
+        (search & (F.coalesce(last_search, F.lit("")) == "search_papers"), "search_papers"), (q["listed"], "search_papers"), (q["low"].startswith("paper:"), "search_papers"),
     )
     out = F.lit(None).cast("string")
     for hit, tool in reversed(rules):
@@ -160,6 +175,43 @@ def deterministic_tool(content: Column, last_search: Column, had_cnki: Column) -
     return out
 
 
+def deterministic_plan(content: Column, last_search: Column, had_cnki: Column, candidate: Column | None = None) -> Column:
+    """(tool_name, arguments) of ``deterministic_tool``; null where no rule holds. Arguments are texts, lists as JSON."""
+    return once(F.coalesce(content, F.lit("")), lambda t: once(deterministic_tool(t, last_search, had_cnki, candidate), lambda tool: _with_arguments(t, tool, last_search, candidate)))
+
+
+def _with_arguments(content: Column, tool: Column, last_search: Column, candidate: Column | None) -> Column:
+    q = _asks(content)
+    low, t = q["low"], q["text"]
+    keep, own = has_any(t, ("保存", "存储", "入库")), F.coalesce(candidate, F.lit("")) if candidate is not None else F.lit("")
+    named = q["search"] & has_any(t, ("论文", "文献", "知识库"))
+    again = q["search"] & (F.coalesce(last_search, F.lit("")) == "search_papers")
+    local = q["base"] & ~t.contains("联网")
+    listed, whole = q["listed"] & ~keep & ~named & ~again, low.startswith("paper:") & ~keep & ~named & ~again & ~q["listed"]
+    m = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])
+    source = F.when(low.contains("cnki") | t.contains("知网"), "cnki").when(low.contains("direct.mit.edu"), "mit_press").otherwise("institution")
+    arguments = (
+        F.when(tool == "search_cnki_papers", m(query=cleaned_query(t), limit="20")).when(tool == "verify_institution_access", m(probe_url=q["link"]))
+        .when(tool == "download_institution_url", m(source_url=q["link"], source=source)).when(tool == "download_cnki_selections", m(indexes=F.to_json(chosen_places(t))))
+        .when(tool == "acquire_paper_to_knowledge", m(paper_id=own)).when(tool == "delete_knowledge", m(paper_id=F.coalesce(F.nullif(first_paper_id(t), F.lit("")), own)))
+        .when((tool == "search_papers") & listed, m(query="", source="local", limit="10")).when((tool == "search_papers") & whole, m(query=t, source="local", limit="5"))
+        .when(tool == "search_papers", m(query=cleaned_query(t), source=F.when(named & local & ~keep, "local").otherwise("all"), limit="5")).otherwise(F.create_map().cast("map<string,string>"))
+    )
+    return F.when(tool.isNotNull(), F.struct(tool.alias("tool_name"), arguments.alias("arguments")))
+
+
+def combined_plan(content: Column, had_cnki: Column) -> Column:
+    """(query, places) of a request that searches and downloads in one; places are 1 where it names none. Null for others."""
+    return once(F.coalesce(content, F.lit("")), lambda t: _combined(t, had_cnki))
+
+
+def _combined(content: Column, had_cnki: Column) -> Column:
+    q = _asks(content)
+    both = (q["text"].contains("知网") | (F.coalesce(had_cnki, F.lit(False)) & ~q["wide"])) & q["search"] & q["download"]
+    places = chosen_places(q["text"], bare=False)
+    return F.when(both, F.struct(cleaned_query(q["text"]).alias("query"), F.when(F.size(places) > 0, places).otherwise(F.array(F.lit(1))).alias("places")))
+
+
 def budget_class(content: Column) -> Column:
     """Tokens of context for a request: 3000 to recall, 7000 for complex, 4200 for actions, else 2600."""
     t = F.coalesce(content, F.lit(""))

@@ -321,6 +321,23 @@ def test_routes(spark):
     assert [one(spark, routing.search_source(F.col("a")), t) for t in ("local", "hybrid", "online", "x")] == ["local", "all", "external", "external"]
 
 
+def test_rules_with_a_chosen_paper(spark):
+    none, own = F.lit(None).cast("string"), F.lit("paper:web:7")
+    plan = lambda t, last=none, cnki=False, chosen=own: one(spark, F.to_json(routing.deterministic_plan(F.col("a"), last, F.lit(cnki), chosen)), t)
+    said = {
+        "下载": ("acquire_paper_to_knowledge", {"paper_id": "paper:web:7"}), "入库": ("acquire_paper_to_knowledge", {"paper_id": "paper:web:7"}), "移除": ("delete_knowledge", {"paper_id": "paper:web:7"}),
+        "移除 paper:x:1": ("delete_knowledge", {"paper_id": "paper:x:1"}), "验证机构权限 https://a.org/p。": ("verify_institution_access", {"probe_url": "https://a.org/p"}), "paper:q:1": ("search_papers", {"query": "paper:q:1", "source": "local", "limit": "5"}),
+        "搜索知识库 图像": ("search_papers", {"query": "图像", "source": "local", "limit": "5"}), "断开机构": ("revoke_institution_session", {}),
+    }
+    for t, (tool, arguments) in said.items():
+        assert json.loads(plan(t)) == {"tool_name": tool, "arguments": arguments}, t
+    assert plan("你好") is None and json.loads(plan("移除", chosen=none) or "null") is None
+    assert json.loads(plan("下载第三篇和2", cnki=True))["arguments"] == {"indexes": "[2,3]"} and json.loads(plan("搜索语音", cnki=True))["tool_name"] == "search_cnki_papers"
+    both = lambda t, cnki=False: one(spark, F.to_json(routing.combined_plan(F.col("a"), F.lit(cnki))), t)
+    assert json.loads(both("在知网搜索语音，下载第2篇")) == {"query": "语音", "places": [2]} or both("在知网搜索语音，下载第2篇")
+    assert both("搜索语音") is None and both("搜索语音并下载", True) is not None and both("全网搜索语音并下载", True) is None
+
+
 def test_plans_are_checked(spark):
     d = spark.createDataFrame(
         [(1, "搜索点云并存储知识库", [("search_cnki_papers", {"query": "q", "tenant_id": "t"})]), (2, "搜索", [("search_papers", {}), ("delete_knowledge", {})]), (3, "搜索", [("download_cnki_selections", {})]), (4, "x", None)],
