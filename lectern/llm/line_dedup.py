@@ -4,10 +4,10 @@ Lines are compared with white space collapsed; blank lines are left out of the c
 Hashes of ``gram`` lines are winnowed: of every ``window`` of them in a row the least (the last one, of equals) selects
 its position, so equal runs of ``gram + window - 1`` lines select the same position in them, and about two of every
 ``window + 1`` positions are selected. A run of one or two lines counts as well if it has over ``long_words`` words; it
-selects itself. Positions are kept where their fingerprint was selected more than once in all documents. From there a
-match is extended both ways: the run on each side that selected the position is compared as a whole with all others
-of its fingerprint, and as the next line's run has a selected position of its own, a match grows line by line to the
-longest equal run. Of equal runs the first, in the order (id, hash of the text, line), stays; of the others every line
+selects itself. Positions are kept where their fingerprint was selected more than once in all documents. The windows that
+selected such a position, which lie on both sides of it, are compared as wholes with all others of its fingerprint; there is
+no walk outward from a position, but as each line of a match has a window of its own here, the union of equal windows is the
+longest equal run, the same as such a walk would find. Of equal runs the first, in the order (id, hash of the text, line), stays; of the others every line
 is deleted that isn't also a line of that first run.
 
 The first of each run is found by pre-aggregated minima; joining these to the positions is the only step a frequent
