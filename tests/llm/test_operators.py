@@ -547,3 +547,21 @@ def test_pipeline_stages_take_awkward_and_empty_tables(spark, awkward, empty, si
             assert {r.doc_id for r in out.select("doc_id").collect()} == left[name]
         assert stage(spark, empty, str(tmp_path)).count() == 0
         assert name == "packing" or out.columns == awkward.columns
+
+
+def test_documents_of_over_a_million_characters(spark, side):
+    rng = np.random.default_rng(12)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 10 ** 6, 180_000))
+    assert len(long) > 1_200_000
+    d = spark.createDataFrame([(1, long), (2, long), (3, "short text of six words here")], "doc_id long, text string").repartition(3)
+    assert rows_of(remove_repeated_passages(d, 35), "id", "n_words", "n_removed") == [(1, 180_000, 180_000), (2, 180_000, 180_000), (3, 6, 0)]
+    assert rows_of(jaccard_components(d), "id", "component_id") == [(1, 1), (2, 1), (3, 3)]
+    assert rows_of(drop_repeated_lines(d), "doc_id", "n_lines", "n_removed") == [(1, 1, 0), (2, 1, 1), (3, 1, 0)]
+    assert rows_of(ppm.lm_scores(d), "id", "n_tokens") == [(1, 180_001), (2, 180_001), (3, 7)]
+    item = " ".join(long.split(" ")[170_000:170_030])
+    leaks = decontaminate.benchmark_leaks(d, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert rows_of(leaks, "id", "item_ids") == [(1, [9]), (2, [9]), (3, [])]
+    assert rows_of(packing.packed(d), "id", "n_tokens") == [(1, 180_001), (2, 180_001), (3, 7)]
+    assert rows_of(shard_documents(d, 2), "id", "size") == [(1, len(long) + 1), (2, len(long) + 1), (3, 29)]
+    scores = {r.id: r.score for r in toxicity.toxicity_scores(d, side[0]).collect()}
+    assert len(scores) == 3 and scores[1] == scores[2]
