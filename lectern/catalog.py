@@ -89,7 +89,7 @@ def scoped_customers(spark, sf: str) -> DataFrame:
 
 
 def state_versions(spark, sf: str) -> DataFrame:
-    return R.numbered(_t(spark, sf, "events").select("event_id", "user_id"), ["user_id"], "event_id", "state_version", width=1000)
+    return R.numbered(_t(spark, sf, "events").select("event_id", "user_id"), ["user_id"], "event_id", "state_version")
 
 
 def page_links(spark, sf: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.scratch import stored
+
 
 def first_position_last_value(df: DataFrame, key: list[str], order: str, values: list[str]) -> DataFrame:
     """One row a key: the place where the key first stands, the values that it has last. Partial aggregates, no sort."""
@@ -34,17 +36,19 @@ def replace_all(base: DataFrame, delta: DataFrame, key: list[str]) -> DataFrame:
     return base.join(delta.select(*key).distinct(), key, "left_anti").unionByName(delta)
 
 
-def numbered(df: DataFrame, key: list[str], order: str, out: str, width: int = 100_000, total: str | None = None) -> DataFrame:
-    """Adds ``out``: 1, 2, 3 … of each key in the order of a whole-number column, and the key's rows as ``total``.
+def numbered(df: DataFrame, key: list[str], order: str, out: str, total: str | None = None) -> DataFrame:
+    """Adds ``out``: 1, 2, 3 … of each key in order, and the key's rows as ``total``; rows equal in both get their places by chance.
 
-    Rows are numbered inside ranges of ``width``, and the ranges' counts give each its first number, so a key with very
-    many rows is spread over tasks. Keys and order are not null.
+    Rows are numbered inside ranges of (key, order) that are alike in size, and the ranges' counts give each its first number,
+    so a key with very many rows is spread over tasks. Keys are not null; nulls in the order come first.
     """
-    d = df.withColumn("__range", F.floor(F.col(order) / F.lit(width)))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n, *key, order, "__tie").withColumn("__range", F.spark_partition_id())
+    d = stored(d, "ranges")  # a row must stay in its range
     n = d.groupBy(*key, "__range").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*key)
     n = n.withColumn("__before", F.sum("__n").over(w.orderBy("__range")) - F.col("__n")).withColumn("__all", F.sum("__n").over(w)).drop("__n")
-    d = d.withColumn("__i", F.row_number().over(Window.partitionBy(*key, "__range").orderBy(order))).join(n, [*key, "__range"])
+    d = d.withColumn("__i", F.row_number().over(Window.partitionBy(*key, "__range").orderBy(order, "__tie"))).join(n, [*key, "__range"])
     d = d.withColumn(out, (F.col("__before") + F.col("__i")).cast("long"))
     return d.select(*df.columns, out, *([F.col("__all").alias(total)] if total else []))
 

@@ -88,3 +88,19 @@ def test_batches_of_equal_rows_and_of_none(spark):
     d = spark.createDataFrame([("a", 1, 6)] * 50, "g string, id long, t long")
     assert sorted(len(r.ids) for r in batched(d, ["g"], "id", "id", F.col("t"), 20).collect()) == [2] + [3] * 16
     assert batched(d.where("t > 6"), ["g"], "id", "id", F.col("t")).count() == 0
+
+
+def test_one_key_is_numbered_over_many_ranges(spark):
+    from lectern.operators.relational import head_and_tail, numbered
+
+    rng = random.Random(8)
+    rows = [("hot" if i < 1500 else rng.choice("abc"), rng.choice([None, *range(50)]), i) for i in range(2000)]
+    d = spark.createDataFrame(rows, "k string, o int, i int").repartition(5)
+    got = numbered(d, ["k"], "o", "n", total="all").collect()
+    for k in "hot", "a", "b", "c":
+        own = sorted((r.n, r.o) for r in got if r.k == k)
+        assert [n for n, _ in own] == list(range(1, len(own) + 1)) and [o for _, o in own] == sorted((o for _, o in own), key=lambda o: (o is not None, o))
+        assert {r["all"] for r in got if r.k == k} == {len(own)}
+    assert sorted(r.i for r in got) == list(range(2000))
+    parts = head_and_tail(d, ["k"], "i", 2, 3).where("k = 'hot'").collect()
+    assert {r.i for r in parts if r.part == "head"} == {0, 1} and {r.i for r in parts if r.part == "tail"} == {i for i, (k, _, _) in enumerate(rows) if k == "hot" and sum(x[0] == "hot" for x in rows[i + 1:]) < 3}
