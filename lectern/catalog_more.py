@@ -253,7 +253,7 @@ def conversation_phases(spark, sf: str) -> DataFrame:
     e = _t(spark, sf, "events")
     tool = F.when(F.col("event_type") == "purchase", "acquire_paper_to_knowledge").otherwise("search_papers")
     event = F.to_json(F.struct(F.when(F.col("event_type") == "view", "user").otherwise("tool").alias("kind"), tool.alias("tool_name"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"), F.lit("goal").alias("content")))
-    d = conversations.conversation_states(e.select("user_id", "event_id", event.alias("event")), ["user_id"], ["event_id"])
+    d = conversations.conversation_states(e.select("user_id", "event_id", event.alias("event")), ["user_id"], ["event_id"], fields=["phase", "last_tool"])
     return d.select("event_id", "user_id", "state_version", "phase", "last_tool")
 
 

@@ -100,20 +100,26 @@ def carried(df: DataFrame, key: list[str], order: list[str], fields: list[str],
     return d.select(*out, *([(F.col("b.__n") + F.col("d.__i")).cast("long").alias(count)] if count else []))
 
 
-def conversation_states(events: DataFrame, key: list[str], order: list[str], event: str = "event") -> DataFrame:
-    """``events`` with the fields of ``START``, ``pending`` (a call that waits for the user) and ``state_version`` after each.
+def conversation_states(events: DataFrame, key: list[str], order: list[str], event: str = "event", fields: list[str] | None = None) -> DataFrame:
+    """``events`` with the fields of ``START``, ``pending`` (a call that waits for the user) and ``state_version`` after each; of the
+    fields only those named, where they are.
 
     A pending call ends when any call does, when it is reported again, or when it is cleared. Column names of ``events`` aren't
     those of the state.
     """
+    wanted = [*START, "pending"] if fields is None else fields
+    kept = [c for c in wanted if c != "pending"]
+    out = [*events.columns, *[F.coalesce(F.col(c), F.lit(START[c])).alias(c) for c in kept]]
     d = assigned(events, event)
+    if "pending" not in wanted:
+        return carried(d.select(*events.columns, *kept), key, order, kept, "state_version").select(*out, "state_version")
     at = F.struct(*order)
-    d = d.withColumn("set_at", F.when(F.col("pending").isNotNull(), at)).drop("papers")
-    d = carried(d, key, order, [*START, "pending", "set_at"], "state_version")
+    d = d.withColumn("set_at", F.when(F.col("pending").isNotNull(), at)).select(*events.columns, *kept, "pending", "set_at", "ends", "call_id")
+    d = carried(d, key, order, [*kept, "pending", "set_at"], "state_version")
     ended = F.col("ends") | (F.col("call_id") == F.col("pending.call_id"))
     d = carried(d.withColumn("ended_at", F.when(ended, at)), key, order, ["ended_at"])
     waits = F.col("pending").isNotNull() & (F.col("ended_at").isNull() | (F.col("set_at") > F.col("ended_at")))
-    return d.select(*events.columns, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in START.items()], F.when(waits, F.col("pending")).alias("pending"), "state_version")
+    return d.select(*out, F.when(waits, F.col("pending")).alias("pending"), "state_version")
 
 
 def found_papers(events: DataFrame, key: list[str], order: list[str], event: str = "event") -> DataFrame:
