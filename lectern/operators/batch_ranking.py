@@ -9,9 +9,10 @@ spread over its blocks, and a query over the blocks that it needs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import once
 from lectern.operators.retrieval import B, K1
 from lectern.scratch import stored
 
@@ -21,6 +22,15 @@ FIRST = 4
 DIGITS = 6
 
 
+def _counts(tokens: Column) -> Column:
+    """(token, tf) of an array: runs of the sorted array."""
+    def runs(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+        return once(at, lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda i, k: F.struct(F.get(s, i).alias("token"), (F.get(at, k + 1) - i).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, once(F.array_sort(tokens), runs))
+
+
 def write_blocks(docs: DataFrame, path: str, order: list[str] = (), per_block: int = PER_BLOCK) -> None:
     """Postings of ``docs`` (doc_id, tokens, *order) by token and block. Neighbours in ``order`` should be alike: the more the
     blocks' largest parts differ, the more of them are passed over. Documents without tokens count in the statistics."""
@@ -29,11 +39,14 @@ def write_blocks(docs: DataFrame, path: str, order: list[str] = (), per_block: i
     by = [*order, "doc_id"]
     d = docs.select(*dict.fromkeys(by), "tokens").repartitionByRange(max(1, -(-n // per_block)), *by)
     d = stored(d.select("doc_id", "tokens", F.spark_partition_id().alias("block")), "blocks")  # a document must stay in its block
-    p = d.select("block", "doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("token", "block", "doc_id", "length").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    part = (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (F.lit(1 - B) + B * F.col("length") / mean))
-    p = p.select("token", "block", F.struct("doc_id", part.alias("part")).alias("d"))
+    length = F.size("tokens")
+    # a document's counts are worked out inside its row, so that postings move once
+    p = d.select("block", "doc_id", length.alias("length"), F.explode(_counts(F.col("tokens"))).alias("t"))
+    tf = F.col("t.tf").cast("double")
+    part = (tf * (K1 + 1)) / (tf + K1 * (F.lit(1 - B) + B * F.col("length") / mean))
+    p = p.select(F.col("t.token").alias("token"), "block", F.struct("doc_id", part.alias("part")).alias("d"))
     b = p.groupBy("token", "block").agg(F.max("d.part").alias("most"), F.count(F.lit(1)).alias("n"), F.collect_list("d").alias("docs"))
-    b.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.parquet(f"{path}/blocks")
+    b.sortWithinPartitions("token", "block").write.option("compression", "zstd").parquet(f"{path}/blocks")
     df = docs.sparkSession.read.parquet(f"{path}/blocks").groupBy("token").agg(F.sum("n").alias("df"))
     df.select("token", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).write.parquet(f"{path}/terms")
 
