@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, with subsequence and answer checks.
 
 Words are hashed to ``FEATURES`` dimensions and weighted by inverse passage frequency over all documents. A randomised
-SVD (a seeded range finder and one Rayleigh step, each a sum of partial products over Spark partitions) gives the
-latent space; its two matrices are FEATURES x RANK whatever the input. It is fitted on a sample of passages bounded by
-``fit_bytes``; frequencies, search and checks cover every document whole.
+SVD (a seeded range finder and Nystroem's step, from one sum of partial products over Spark partitions) gives the
+latent space; its two matrices are FEATURES x RANK whatever the input. Frequencies, the fit, search and checks cover every
+document whole; a caller may bound the texts of the fit by ``fit_bytes``, the queries don't.
 
 Candidates are windows near an item by cosine in the whitened space: windows of three lengths at every eighth word, and
 windows of the item's own length, and one and a half times it, at its words. A candidate is then checked by the longest
@@ -27,6 +27,8 @@ from .shared import table, written
 
 FEATURES, RANK, PASSAGE = 1 << 15, 48, 32
 WINDOWS, STRIDE, COSINE = (16, 32, 48), 8, 0.2
+#: Words that a product takes at once, and passages (some 60 MB) that a task of the fit takes where cores are few.
+GRAM_WORDS, FIT_PASSAGES = 65_536, 300_000
 ITEM_ROWS, PIECE, PLACES = 4096, 1_000_000, 4_000_000
 
 
@@ -40,8 +42,8 @@ def _passages(w: B.Words) -> np.ndarray:
     return np.cumsum(at % PASSAGE == 0) - 1
 
 
-def passage_frequencies(texts: DataFrame) -> np.ndarray:
-    """idf of each feature over the passages of all texts."""
+def passage_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """idf of each feature over the passages of all texts, and how many passages there are."""
 
     def count(batches):
         total, n = np.zeros(FEATURES, np.int64), 0
@@ -61,28 +63,52 @@ def passage_frequencies(texts: DataFrame) -> np.ndarray:
             n = c
         else:
             df[k] = c
-    return np.log((1 + n) / (1 + df)).astype(np.float32)
+    return np.log((1 + n) / (1 + df)).astype(np.float32), n
+
+
+def _sums(rows: np.ndarray, at: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[at]`` over the runs of ``at`` that begin at ``cut``: runs in parts of PASSAGE, all parts' next rows at once."""
+    size = np.diff(cut, append=len(at))
+    many = -(-size // PASSAGE)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    begin, left = np.repeat(cut, many) + place * PASSAGE, np.minimum(np.repeat(size, many) - place * PASSAGE, PASSAGE)
+    order = np.argsort(-left, kind="stable")
+    begin, longer = begin[order], len(left) - np.cumsum(np.bincount(left, minlength=PASSAGE + 1))
+    parts = np.take(rows, at[begin], axis=0)
+    for j in range(1, PASSAGE):
+        n = longer[j]
+        if not n:
+            break
+        parts[:n] += np.take(rows, at[begin[:n] + j], axis=0)
+    out = np.empty_like(parts)
+    out[order] = parts
+    return out if len(out) == len(cut) else np.add.reduceat(out, np.cumsum(many) - many)
 
 
 def _gram_product(texts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A^T A basis, A being the TF-IDF passages: partial sums a partition, added by Spark in runs of features."""
     rank, run = basis.shape[1], 1024
+    weighted = basis * idf[:, None]
 
     def multiply(batches):
-        total = np.zeros((FEATURES, rank), np.float32)
+        total = np.zeros((FEATURES, rank))
         for b in (x for batch in batches for x in B.pieces(batch, "text", PIECE)):
             w = B.Words(b["text"], lower=True)
             if not len(w.starts):
                 continue
             f, p = features(w.hashes()), _passages(w)
-            for lo in range(0, len(f), 200_000):
-                ff, pp = f[lo:lo + 200_000], p[lo:lo + 200_000] - p[lo]
-                y = np.add.reduceat(basis[ff] * idf[ff, None], np.flatnonzero(np.r_[True, pp[1:] != pp[:-1]]))
-                order = np.argsort(ff, kind="stable")
-                cut = np.flatnonzero(np.r_[True, ff[order][1:] != ff[order][:-1]])
-                total[ff[order][cut]] += np.add.reduceat(y[pp[order]], cut) * idf[ff[order][cut], None]
+            ends = np.r_[np.flatnonzero(np.diff(p)) + 1, len(p)]
+            cuts = [0, *ends[np.flatnonzero(np.diff(ends // GRAM_WORDS, append=-1))].tolist()]  # no passage is cut
+            for lo, hi in zip(cuts, cuts[1:]):
+                ff, pp = f[lo:hi], p[lo:hi] - p[lo]
+                y = _sums(weighted, ff, np.flatnonzero(np.r_[True, pp[1:] != pp[:-1]]))
+                order = np.argsort(ff.astype(np.uint16), kind="stable")
+                own = ff[order]
+                cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                total[own[cut]] += _sums(y, pp[order], cut)
         if total.any():
-            yield pa.record_batch({"run": pa.array(range(FEATURES // run), pa.int32()), "part": pa.array([x.tobytes() for x in total.reshape(FEATURES // run, -1)], pa.binary())})
+            total *= idf[:, None]
+            yield pa.record_batch({"run": pa.array(range(FEATURES // run), pa.int32()), "part": pa.array([x.astype(np.float32).tobytes() for x in total.reshape(FEATURES // run, -1)], pa.binary())})
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         out = np.zeros(run * rank)
@@ -99,13 +125,16 @@ def _gram_product(texts: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.nd
 def latent_space(texts: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
     """FEATURES x RANK: right singular vectors over singular values, of the TF-IDF passages of ``texts``."""
     start = np.random.default_rng(seed).standard_normal((FEATURES, RANK)).astype(np.float32)
-    q, _ = np.linalg.qr(_gram_product(texts, idf, start))
-    b = _gram_product(texts, idf, q.astype(np.float32))
-    power, turn = np.linalg.eigh((q.T @ b + b.T @ q) / 2)
-    good = power > max(power.max(initial=0) * 1e-9, 1e-12)
+    y = _gram_product(texts, idf, start)
+    # Nystroem: A^T A is near y (start^T y)^-1 y^T, on the same range as y, so one product over all passages is enough
+    within, turn = np.linalg.eigh((start.T @ y + y.T @ start) / 2)
+    good = within > max(within.max(initial=0) * 1e-9, 1e-12)
     if not good.any():
         return start * idf[:, None]
-    return ((q @ turn[:, good]) / np.sqrt(power[good]) * idf[:, None]).astype(np.float32)
+    vectors, values, _ = np.linalg.svd((y @ turn[:, good]) / np.sqrt(within[good]), full_matrices=False)
+    power = values ** 2
+    good = power > max(power.max(initial=0) * 1e-9, 1e-12)
+    return (vectors[:, good] / np.sqrt(power[good]) * idf[:, None]).astype(np.float32)
 
 
 def common_subsequence(item: list[int], words: list[int]) -> int:
@@ -282,23 +311,30 @@ def leaks_of(w: B.Words, items: Items, space: np.ndarray, least: float, with_ans
     return found
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, with_answer: float = 0.65, answer: int = 3, fit_bytes: int = 16_000_000, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sampled(d: DataFrame, fit_bytes: int) -> DataFrame:
+    """About ``fit_bytes`` of the texts of ``d`` (id, text), for callers who bound the fit."""
+    total = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rate = 1_000_000 if total <= fit_bytes else max(1, fit_bytes * 1_000_000 // total)
+    # with the id, so that copies of one text are sampled one by one; stored once, in few partitions whatever the input
+    return written(d.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < rate).select("text").repartition(16), "sample")
+
+
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, with_answer: float = 0.65, answer: int = 3, fit_bytes: int | None = None, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, item_ids, shares): one row for each row of ``docs``; ``mark`` is a hash of the text.
 
     An item leaks where the cosine finds a passage near it in which ``least`` of its words stand in order, or ``with_answer``
     of them together with its last ``answer`` words. Null and empty texts have no leaks, and null or empty items leak nowhere; items with
-    null id are left out, equal items count each. Equal rows have equal results. Texts are searched whole. Empty tables
+    null id are left out, equal items count each. Equal rows have equal results. Texts are searched whole, and all of them
+    fit the space unless ``fit_bytes`` bounds them. Empty tables
     give no rows or no leaks; other columns don't matter.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("mark"), text.alias("text"))
-    total = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     texts = d.select("text")
-    idf = passage_frequencies(texts)
-    rate = 1_000_000 if total <= fit_bytes else max(1, fit_bytes * 1_000_000 // total)
-    # with the id, so that copies of one text are sampled one by one; stored once, in few partitions whatever the input
-    sample = written(d.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < rate).select("text").repartition(16), "sample")
-    space = latent_space(sample, idf)
+    idf, n_passages = passage_frequencies(texts)
+    # each task of the fit gives a whole matrix, so there are no more tasks than cores or than FIT_PASSAGES ask for
+    fit = texts.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, n_passages // FIT_PASSAGES)) if fit_bytes is None else _sampled(d, fit_bytes)
+    space = latent_space(fit, idf)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     n_items, item_bytes = items.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
     n_blocks = max(1, -(-n_items // ITEM_ROWS), -(-n_items * item_bytes // 64_000_000))
