@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+from lectern.operators import batch_ranking
 from lectern.operators.batch_ranking import bm25_batch, write_blocks
 
 
@@ -26,3 +27,24 @@ def test_blocks_that_cannot_matter_are_passed_over(spark, tmp_path):
     assert sorted((r.query_id, r.rank, r.doc_id) for r in found.collect()) == sorted(want)
     n = {r.query_id: (r.blocks, r.looked) for r in looked.collect()}
     assert all(b >= k for b, k in n.values()) and sum(k for _, k in n.values()) < 0.6 * sum(b for b, _ in n.values())
+
+
+def test_postings_move_once_for_all_queries(spark, tmp_path, monkeypatch):
+    """Many queries that ask for one frequent token: ties go to the smallest ids, and neither pass makes rows of queries times documents."""
+    docs = [(i, ["common"] * (1 + (i % 7 == 0)) + ["x"] * (i % 2)) for i in range(700)]
+    queries = [(q, ["common"] * (1 + q % 3)) for q in range(60)]
+    path = f"file://{tmp_path}/blocks"
+    monkeypatch.setattr(batch_ranking, "QUERIES", 25)
+    monkeypatch.setattr(batch_ranking, "BLOCK_TOKENS", 50)
+    write_blocks(spark.createDataFrame(docs, "doc_id long, tokens array<string>").repartition(3), path, per_block=100)
+    index = spark.read.parquet(f"{path}/blocks")
+    assert index.groupBy("block").agg({"n": "max"}).where("`max(n)` > 50").count() == 0 and index.where("token = 'common'").groupBy().sum("n").first()[0] == 700
+    found, _ = bm25_batch(spark, path, spark.createDataFrame(queries, "query_id long, tokens array<string>"), k=4, first=2)
+    best = sorted(i for i, t in docs if t == ["common"] * 2)[:4]  # two in a document of two tokens
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in found.collect()) == [(q, n, i) for q in range(60) for n, i in enumerate(best, 1)]
+    asked = spark.createDataFrame([(q, "common", 1.0) for q, _ in queries], "query_id long, token string, weight double")
+    pairs = asked.select("query_id").crossJoin(index.select("block").distinct())
+    scored = batch_ranking._scored(asked, pairs, index, 4, 1)
+    assert scored.count() <= 60 * 8 * index.select("block").distinct().count() < 60 * 700
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no posting is copied for a query
