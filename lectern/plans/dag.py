@@ -38,19 +38,20 @@ def waves(nodes: DataFrame, node: str = "node_id", depends_on: str = "depends_on
     """Adds ``wave``, from 0: the first in which all a node waits for is done.
 
     Each round settles one wave by a join, so the rounds are the graph's depth. Cycles and unknown nodes are a ValueError.
+    Joins are merges: a broadcast of what is done would pass through the driver in every round.
     """
     nodes = stored(nodes, "nodes")
     edges = stored(nodes.select(node, F.explode(F.array_distinct(depends_on)).alias("__dep")), "edges")
     left, done, wave = nodes, None, 0
     while True:
-        open_ = edges if done is None else edges.join(done.select(F.col(node).alias("__dep")), "__dep", "left_anti")
-        ready = stored(left.join(open_.select(node).distinct(), node, "left_anti").withColumn("wave", F.lit(wave)), "wave")
+        open_ = edges if done is None else edges.join(done.select(F.col(node).alias("__dep")).hint("merge"), "__dep", "left_anti")
+        ready = stored(left.join(open_.select(node).distinct().hint("merge"), node, "left_anti").withColumn("wave", F.lit(wave)), "wave")
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
         if wave % 10 == 9:  # else the plan grows with the waves
             done = stored(done, "waves")
-        left = nodes.join(done.select(node), node, "left_anti")
+        left = nodes.join(done.select(node).hint("merge"), node, "left_anti")
         wave += 1
     names = [str(r[0]) for r in left.select(node).orderBy(node).limit(20).collect()]
     if names:
