@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import decay, tokens
+from lectern.functions.text import decay, once, tokens
 from lectern.functions.vectors import cosine
 from lectern.scratch import stored
 
@@ -21,6 +21,8 @@ from lectern.scratch import stored
 K1, B = 1.5, 0.75
 WEIGHTS = {"vector": 0.35, "bm25": 0.40, "temporal": 0.10, "preference": 0.15}
 CANDIDATES = 800
+#: Tokens whose postings one task sorts, some 100 MB.
+FILE_TOKENS = 1_500_000
 # Memories of these types make preferences.
 PREFERENCE_TYPES = ("preference", "profile", "constraint", "instruction")
 
@@ -67,16 +69,27 @@ def bm25(docs: DataFrame, query: list[str], token_col: str = "tokens", out: str
     return d.withColumn(out, reduce(lambda a, b: a + b, part, F.lit(0.0))).drop("tf", "length", "shared")
 
 
+def _counts(tokens: Column) -> Column:
+    """(token, tf) of an array: runs of the sorted array."""
+    def runs(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+        return once(at, lambda at: F.transform(F.slice(at, 1, F.size(at) - 1), lambda i, k: F.struct(F.get(s, i).alias("token"), (F.get(at, k + 1) - i).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, once(F.sort_array(tokens), runs))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(token, doc_id, tf, length) of ``docs`` (doc_id, tokens): one shuffle of partial counts."""
-    d = docs.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return d.groupBy("token", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    """(token, doc_id, tf, length) of ``docs`` (doc_id, tokens): counted inside the row, so nothing moves or is held for it."""
+    d = docs.select("doc_id", F.size("tokens").alias("length"), F.explode(_counts(F.col("tokens"))).alias("t"))
+    return d.select("t.token", "doc_id", "length", F.col("t.tf").cast("long").alias("tf"))
 
 
-def write_postings(docs: DataFrame, path: str, files: int = 200) -> None:
-    """Postings under ``path``, in order of token, so that a query's terms are a few row groups; and the corpus's size."""
+def write_postings(docs: DataFrame, path: str, files: int = 200, per_file: int = FILE_TOKENS) -> None:
+    """Postings under ``path``, in order of token, so that a query's terms are a few row groups; and the corpus's size. There are
+    more than ``files`` files where one would get over ``per_file`` tokens, and a frequent token is spread over several."""
     d = stored(docs.select("doc_id", "tokens"), "tokens")
-    postings(d).repartitionByRange(files, "token").sortWithinPartitions("token", "doc_id").write.parquet(f"{path}/postings")
+    total = d.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    postings(d).repartitionByRange(max(files, -(-total // per_file)), "token", "doc_id").sortWithinPartitions("token", "doc_id").write.parquet(f"{path}/postings")
     d.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("mean")).write.parquet(f"{path}/size")
 
 

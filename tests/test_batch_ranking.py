@@ -4,7 +4,9 @@ import math
 import random
 from collections import Counter
 
-from lectern.operators import batch_ranking
+from pyspark.sql import functions as F
+
+from lectern.operators import batch_ranking, retrieval
 from lectern.operators.batch_ranking import bm25_batch, write_blocks
 
 
@@ -48,3 +50,15 @@ def test_postings_move_once_for_all_queries(spark, tmp_path, monkeypatch):
     assert scored.count() <= 60 * 8 * index.select("block").distinct().count() < 60 * 700
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # no posting is copied for a query
+
+
+def test_files_of_postings_follow_the_input(spark, tmp_path):
+    """A task sorts a bounded share of the postings, also of a token that every document holds."""
+    docs = [(i, ["common", "common", f"w{i % 9}"]) for i in range(400)] + [(400, [])]
+    retrieval.write_postings(spark.createDataFrame(docs, "doc_id long, tokens array<string>").repartition(3), f"file://{tmp_path}/p", files=2, per_file=100)
+    d = spark.read.parquet(f"file://{tmp_path}/p/postings")
+    of = d.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert len(of) >= 8 and max(r["count"] for r in of) < 200
+    assert d.groupBy("token", "tf", "length").count().where("token = 'common'").collect() == [("common", 2, 3, 400)]
+    assert sorted((r.doc_id, r.tf, r.length) for r in d.where("token = 'w4'").collect()) == [(i, 1, 3) for i in range(400) if i % 9 == 4]
+    assert "Exchange" not in retrieval.postings(spark.createDataFrame(docs, "doc_id long, tokens array<string>"))._jdf.queryExecution().executedPlan().toString()
