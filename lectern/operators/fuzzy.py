@@ -14,6 +14,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,37 @@ from pyspark.sql.types import StructType
 BLOCK = 4096
 
 
+@lru_cache(1 << 17)
+def ratio(a: str, b: str) -> float:
+    """What ``SequenceMatcher(None, a, b).ratio()`` gives. Pools share much of their words, so pairs are kept."""
+    if len(b) >= 200:  # its rule for very frequent characters
+        return SequenceMatcher(None, a, b).ratio()
+    places: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    at, total, todo = [places.get(c, ()) for c in a], 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        best_i, best_j, best, before = alo, blo, 0, {}
+        for i in range(alo, ahi):
+            now = {}
+            for j in at[i]:
+                if j >= bhi:
+                    break
+                if j >= blo:
+                    k = now[j] = before.get(j - 1, 0) + 1
+                    if k > best:
+                        best_i, best_j, best = i - k + 1, j - k + 1, k
+            before = now
+        if best:
+            total += best
+            if alo < best_i and blo < best_j:
+                todo.append((alo, best_i, blo, best_j))
+            if best_i + best < ahi and best_j + best < bhi:
+                todo.append((best_i + best, ahi, best_j + best, bhi))
+    return 2.0 * total / (len(a) + len(b)) if a or b else 1.0
+
+
 class Bags:
     """An index of names by their characters and how often each stands before in the name."""
 
@@ -53,15 +85,13 @@ class Bags:
         """The ``most`` best (ratio, name), ties to the larger name, and how many exact ratios that took."""
         bound = self.bounds(name)
         at = np.flatnonzero(bound >= cutoff)
-        matcher, best, looked = SequenceMatcher(), [], 0
-        matcher.set_seq2(name)
+        best, looked = [], 0
         for i in at[np.argsort(-bound[at], kind="stable")].tolist():
             if len(best) == most and bound[i] < best[0][0]:
                 break
-            matcher.set_seq1(self.names[i])
-            ratio, looked = matcher.ratio(), looked + 1
-            if ratio >= cutoff:
-                (heapq.heappush if len(best) < most else heapq.heappushpop)(best, (ratio, self.names[i]))
+            like, looked = ratio(self.names[i], name), looked + 1
+            if like >= cutoff:
+                (heapq.heappush if len(best) < most else heapq.heappushpop)(best, (like, self.names[i]))
         return sorted(best, reverse=True), looked
 
 

@@ -38,6 +38,17 @@ def test_a_bound_is_never_below_the_ratio():
         assert all(b >= SequenceMatcher(None, y, x).ratio() for b, y in zip(bags.bounds(x), names))
 
 
+def test_the_ratio_is_that_of_difflib():
+    from difflib import SequenceMatcher
+
+    from lectern.operators.fuzzy import ratio
+
+    rng = random.Random(4)
+    word = lambda most: "".join(rng.choice("abcab é") for _ in range(rng.randrange(most)))
+    for a, b in [(word(14), word(14)) for _ in range(4000)] + [(word(400), word(400)) for _ in range(40)] + [("", ""), ("", "a")]:
+        assert ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
 def test_suggestions_of_conversations_by_hand(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     said = {}
